@@ -17,7 +17,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simgrove.llm.common import bounded_batches, lower_az, mix64, small, stored, word_hashes, words_of
@@ -235,8 +235,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = stored(signed.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     banded = same.where("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low")
-    ties = banded.join(shared, "band").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    groups = components(ties)
+    ties = banded.join(shared, "band").where("node <> low").select("node", "low").distinct()
+    # of a node's up to BANDS ties the least stays; it is tied to the others' ends, of which a group has few
+    ties = stored(ties.withColumn("a", F.min("low").over(Window.partitionBy("node"))))
+    ends = ties.select("a", F.col("low").alias("b")).where("a <> b").distinct()
+    groups = components(ties.select("a", F.col("node").alias("b")).distinct().union(ends))
     slim = same.select("node", "th", "rep", "copies", "size")
     sized = groups.join(slim, "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
