@@ -1,4 +1,274 @@
-"""Named queries and the SQL they are held against."""
+"""Named queries over the whole tables and the SQL they are held against.
 
+Operators on pairs take as left side every row whose id is divisible by 50 (QUERY_STEP) against all rows. Clustering
+runs by source (documents) or label (embeddings): whole tables, a task for each group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simgrove.functions import text as T
+from simgrove.functions import vectors as V
+from simgrove.operators import clustering as C
+from simgrove.operators import corpus as Q
+from simgrove.operators import similarity as S
+from simgrove.operators import traces as X
+
+QUERY_STEP = 50
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", V.unit(F.col("embedding").cast("array<double>")).alias("vec"))
+
+
+def _pairs(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
+    left = df.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("a"), F.col(column).alias(a))
+    return left.crossJoin(df.select(F.col("id").alias("b"), F.col(column).alias(b)))
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("a", "b", F.round("normalized_score", 6).alias("normalized_score"), F.round("raw_value", 6).alias("raw_value"))
+
+
+_STOP = "[" + ", ".join(f"'{x}'" for x in T.STOPWORDS) + "]"
+_TOK = rf"WITH tok AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+'), lambda x: NOT list_contains({_STOP}, x)) AS tokens FROM documents)"
+_TF = _TOK + """, tf AS (SELECT id, term, count(*) AS f FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), nn AS (SELECT count(*) AS n FROM tok),
+ w AS (SELECT id, term, f, df, (1 + ln(f)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), nn)"""
+_VEC = "WITH v AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS vec FROM embeddings)"
+
+
+@_query(_TOK + " SELECT id, array_to_string(tokens, ' ') AS tokens FROM tok")
+def preprocess_tokens(spark, d):
+    return _docs(spark, d).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@_query(_TOK + " SELECT id, len(tokens)::BIGINT AS n, len(list_distinct(tokens))::BIGINT AS n_distinct FROM tok")
+def token_counts(spark, d):
+    return _docs(spark, d).select("id", F.size("tokens").cast("long").alias("n"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+
+
+@_query()
+def preprocess_stemmed(spark, d):
+    return T.stemmed(_docs(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@_query(_TF + " SELECT term, df FROM df")
+def document_frequency(spark, d):
+    return S.document_frequency(S.term_frequency(_docs(spark, d)))
+
+
+@_query(_TF + " SELECT id, term, f, round(w, 6) AS w FROM w")
+def tfidf_weights(spark, d):
+    return S.weights(_docs(spark, d)).select("id", "term", "f", F.round("w", 6).alias("w"))
+
+
+@_query(_TF + " SELECT id, round(sqrt(sum(w * w)), 6) AS norm FROM w GROUP BY id")
+def tfidf_vector_norms(spark, d):
+    return S.weights(_docs(spark, d)).groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"))
+
+
+@_query()
+def levenshtein_matrix(spark, d):
+    return _scores(S.levenshtein(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b")))
+
+
+@_query()
+def needleman_wunsch_matrix(spark, d):
+    return _scores(S.needleman_wunsch(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b")))
+
+
+@_query(_TOK + """, s AS (SELECT id, list_distinct(tokens) AS t FROM tok), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM s x, s y WHERE x.id % 50 = 0)
+ SELECT a, b, round(CASE WHEN n = 0 THEN 1.0 ELSE i / (n - i) END, 6)::DOUBLE AS normalized_score, round(CASE WHEN n = 0 THEN 1.0 ELSE i / (n - i) END, 6)::DOUBLE AS raw_value FROM p""")
+def jaccard_matrix(spark, d):
+    return _scores(S.jaccard(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens")))
+
+
+@_query(_TF + """, u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM w),
+ c AS (SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS cos FROM u x JOIN u y USING (term) WHERE x.id % 50 = 0 GROUP BY 1, 2)
+ SELECT x.id AS a, y.id AS b, round(CASE WHEN len(x.tokens) + len(y.tokens) = 0 THEN 1.0 WHEN len(x.tokens) = 0 OR len(y.tokens) = 0 THEN 0.0 ELSE least(1.0, coalesce(cos, 0)) END, 6)::DOUBLE AS normalized_score,
+  CASE WHEN len(x.tokens) > 0 AND len(y.tokens) > 0 THEN round(coalesce(cos, 0), 6) END AS raw_value
+ FROM tok x CROSS JOIN tok y LEFT JOIN c ON c.a = x.id AND c.b = y.id WHERE x.id % 50 = 0""")
+def tfidf_cosine_matrix(spark, d):
+    docs = _docs(spark, d)
+    return _scores(S.tfidf_cosine(docs, docs.where(F.col("id") % QUERY_STEP == 0).select("id")))
+
+
+@_query(_VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.vec, y.vec) AS c FROM v x, v y WHERE x.id % 50 = 0) SELECT a, b, round(greatest(0, least(1, c)), 6) AS normalized_score, round(c, 6) AS raw_value FROM p")
+def embedding_local_matrix(spark, d):
+    return _scores(S.embedding_local(_pairs(_vectors(spark, d), "vec", "u", "v")))
+
+
+@_query(_VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_distance(x.vec, y.vec) AS c FROM v x, v y WHERE x.id % 50 = 0) SELECT a, b, round(greatest(0, least(1, 1 - c / sqrt(2))), 6) AS normalized_score, round(c, 6) AS raw_value FROM p")
+def embedding_api_matrix(spark, d):
+    return _scores(S.embedding_api(_pairs(_vectors(spark, d), "vec", "u", "v")))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in S.ALGORITHMS) + ") t(id, display_name, kind)")
+def algorithm_catalogue(spark, d):
+    return spark.createDataFrame(S.ALGORITHMS, "id string, display_name string, kind string")
+
+
+@_query("SELECT doc_id AS id, source, lang FROM documents")
+def corpus_listing(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+
+
+@_query("SELECT doc_id AS id, source, sha256(text) AS sha256 FROM documents WHERE doc_id = 17")
+def document_lookup(spark, d):
+    return _table(spark, d, "documents").where("doc_id = 17").select(F.col("doc_id").alias("id"), "source", Q.text_sha256(F.col("text")).alias("sha256"))
+
+
+@_query(_TOK + """, s AS (SELECT id, list_sort(list_distinct(tokens)) AS t FROM tok), p AS (SELECT x.id AS a, y.id AS b, x.t AS p, y.t AS q FROM s x, s y WHERE x.id % 50 = 0)
+ SELECT a, b, len(p)::BIGINT AS size_a, len(q)::BIGINT AS size_b, array_to_string(list_sort(list_intersect(p, q)), ' ') AS common, len(list_distinct(list_concat(p, q)))::BIGINT AS size_union FROM p""")
+def jaccard_trace(spark, d):
+    t = X.jaccard_trace(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens"))
+    return t.select("a", "b", F.size("set_a").cast("long").alias("size_a"), F.size("set_b").cast("long").alias("size_b"), F.array_join("intersection", " ").alias("common"), F.size("union").cast("long").alias("size_union"))
+
+
+@_query(_TF + """, u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS unit FROM w), x AS (SELECT * FROM u WHERE id = 0), y AS (SELECT * FROM u WHERE id = 1)
+ SELECT coalesce(x.term, y.term) AS term, coalesce(x.f, 0) AS f_a, coalesce(y.f, 0) AS f_b, coalesce(x.df, y.df) AS df, round(coalesce(x.unit, 0), 6) AS unit_a, round(coalesce(y.unit, 0), 6) AS unit_b FROM x FULL JOIN y ON x.term = y.term""")
+def tfidf_trace_terms(spark, d):
+    t = X.tfidf_trace(_docs(spark, d), 0, 1)
+    return t.select("term", "f_a", "f_b", "df", F.round("unit_a", 6).alias("unit_a"), F.round("unit_b", 6).alias("unit_b"))
+
+
+@_query(_VEC + """, p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.vec, y.vec) AS c, list_distance(x.vec, y.vec) AS e FROM v x, v y WHERE x.id % 50 = 0 AND x.id <> y.id)
+ SELECT a, b, round(c, 6) AS cosine, round(degrees(acos(greatest(-1, least(1, c)))), 4) AS angle, round(e * e, 6) AS sum_squared_diff FROM p""")
+def embedding_trace(spark, d):
+    t = X.embedding_trace(_pairs(_vectors(spark, d), "vec", "u", "v").where("a <> b"))
+    return t.select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("angle", 4).alias("angle"), F.round("sum_squared_diff", 6).alias("sum_squared_diff"))
+
+
+@_query()
+def alignment_trace_paths(spark, d):
+    turns = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    t = X.alignment_trace(_pairs(turns, "tokens", "a_tokens", "b_tokens"), "needleman-wunsch")
+    return t.select("a", "b", F.explode("path").alias("p")).select("a", "b", "p.*")
+
+
+@_query(_VEC + " SELECT x.label, x.id AS i, y.id AS j, round(1 - greatest(-1, least(1, list_dot_product(x.vec, y.vec))), 6) AS d FROM v x JOIN v y ON x.label = y.label AND x.id < y.id")
+def cosine_distance_by_label(spark, d):
+    v = _vectors(spark, d)
+    a, b = v.select("label", F.col("id").alias("i"), F.col("vec").alias("u")), v.select("label", F.col("id").alias("j"), F.col("vec").alias("v"))
+    return a.join(b, "label").where("i < j").select("label", "i", "j", F.round(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("u"), F.col("v")))), 6).alias("d"))
+
+
+def _by_label(spark, d):
+    return _vectors(spark, d).select("label", F.col("id").alias("obs"), "vec")
+
+
+@_query()
+def linkage_by_label(spark, d):
+    return C.cluster(_by_label(spark, d), "label")
+
+
+@_query()
+def evaluation_by_label(spark, d):
+    e = C.evaluate(_by_label(spark, d), "label")
+    return e.withColumn("leaf_order", F.array_join("leaf_order", " ")).withColumn("labels", F.array_join("labels", " "))
+
+
+@_query()
+def clustering_ranking(spark, d):
+    return C.rank(C.evaluate(_by_label(spark, d), "label", ks=(3,)), "label")
+
+
+@_query(_VEC + """, m AS (SELECT label, i, avg(vec[i]) AS m FROM v, range(1, 65) t(i) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
+ s AS (SELECT label, c, avg(list_distance(vec, c)) AS s FROM v JOIN c USING (label) GROUP BY ALL),
+ r AS (SELECT x.label, max((x.s + y.s) / list_distance(x.c, y.c)) AS r FROM s x JOIN s y ON x.label <> y.label GROUP BY 1)
+ SELECT count(*) AS k, round(avg(r), 6) AS davies_bouldin FROM r""")
+def davies_bouldin(spark, d):
+    v = _vectors(spark, d)
+    n = 64
+    mids = v.groupBy("label").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(n)]).alias("c"))
+    s = v.join(F.broadcast(mids), "label").groupBy("label").agg(F.avg(V.distance(F.col("vec"), F.col("c"))).alias("s")).join(mids, "label")
+    o = s.select(F.col("label").alias("l"), F.col("c").alias("oc"), F.col("s").alias("os"))
+    apart = V.distance(F.col("c"), F.col("oc"))
+    r = s.join(o, F.col("label") != F.col("l")).groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.nullif(apart, F.lit(0.0))).alias("r"))
+    return r.agg(F.count(F.lit(1)).alias("k"), F.round(F.avg("r"), 6).alias("davies_bouldin"))
+
+
+@_query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def abstract_sha256(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), Q.text_sha256(F.col("text")).alias("sha256"))
+
+
+@_query("SELECT sha256(string_agg(l || chr(10), '' ORDER BY l)) AS corpus_sha256 FROM (SELECT doc_id || ':' || sha256(coalesce(text, '')) AS l FROM documents)")
+def corpus_sha256(spark, d):
+    return Q.corpus_sha256(_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), Q.text_sha256(F.col("text")).alias("abstract_sha256")))
+
+
+@_query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark, d):
+    return _table(spark, d, "documents").groupBy(Q.text_sha256(F.col("text")).alias("sha256")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@_query(_TOK + """, s AS (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS k, trim(coalesce(text, '')) = '' AS blank FROM documents)
+ SELECT 'NO_DUPLICATE_ABSTRACT_SHA256' AS rule, doc_id::VARCHAR AS document_id FROM s WHERE k > 1 UNION ALL SELECT 'NON_BLANK_ABSTRACT', doc_id::VARCHAR FROM s WHERE blank
+ UNION ALL SELECT 'NON_EMPTY_PREPROCESSED_TOKENS', id::VARCHAR FROM tok JOIN s ON id = doc_id WHERE NOT blank AND len(tokens) = 0""")
+def verify_corpus(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.array("source").alias("authors"), F.col("text").alias("abstract"), F.lit(True).alias("manually_validated"), Q.text_sha256(F.col("text")).alias("abstract_sha256"))
+    return Q.verify(docs).select("rule", "document_id")
+
+
+@_query("SELECT doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'unexpected' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def embedding_coverage(spark, d):
+    return Q.coverage(_table(spark, d, "documents").select(F.col("doc_id").alias("id")), _table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@_query("SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dimension FROM embeddings")
+def embedding_status(spark, d):
+    return _table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("long").alias("dimension"))
+
+
+@_query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(\p{L})-[ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g'), '\r?\n+', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM pages")
+def clean_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("cleaned"))
+
+
+@_query("""SELECT doc_id AS id, concat_ws(';', CASE WHEN length(trim(text)) < 500 THEN 'too-short' END, CASE WHEN NOT regexp_matches(trim(text), '(?s)^.*[.!?]["''”’)]?$') THEN 'no-terminal-punctuation' END,
+ CASE WHEN list_contains([""" + ", ".join(f"'{x}'" for x in T.CONNECTORS) + r"""], lower(regexp_extract(trim(text), '(\p{L}+)[[:punct:]]*$', 1))) THEN 'dangling-connector' END) AS reasons FROM documents""")
+def abstract_quality(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.quality_reasons(F.col("text")), ";").alias("reasons"))
+
+
+@_query("SELECT vec_id AS id, greatest(ceil(len(embedding) / 25), 1)::BIGINT AS n_windows, round(embedding[26]::DOUBLE, 6) AS second_first FROM embeddings")
+def embedding_windows(spark, d):
+    w = V.windows(F.col("embedding"), 25)
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size(w).cast("long").alias("n_windows"), F.round(F.get(F.get(w, F.lit(1)), F.lit(0)).cast("double"), 6).alias("second_first"))
+
+
+@_query("SELECT label, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
+def window_mean_pool(spark, d):
+    v = _table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return v.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@_query("SELECT lang AS family, count(*) AS points, round(regr_slope(ln(len(text)), ln(n_chars)), 6) AS empirical_slope, 1.0::DOUBLE AS theoretical_exponent FROM documents WHERE len(text) > 0 AND n_chars > 0 GROUP BY lang HAVING count(DISTINCT n_chars) > 1")
+def loglog_slopes(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("lang").alias("family"), F.col("n_chars").cast("double").alias("size"), F.length("text").cast("double").alias("score"))
+    slopes = Q.loglog_slopes(docs, docs.select("family", F.lit(1.0).alias("theoretical_exponent")).distinct())
+    return slopes.withColumn("empirical_slope", F.round("empirical_slope", 6))
