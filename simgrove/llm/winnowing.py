@@ -46,7 +46,9 @@ def fingerprints(df: DataFrame, words_col: str, short: list[int]) -> DataFrame:
     placed = F.transform("_runs", lambda h, i: F.struct(h.alias("h"), (-i).alias("m")))
     df = df.withColumn("_placed", placed)
     least = F.transform(F.sequence(F.lit(1), F.size("_placed") - W + 1), lambda i: F.array_min(F.slice(F.col("_placed"), i, F.lit(W))))
-    kept = F.array_distinct(F.when(F.size("_placed") >= W, least).otherwise(F.array().cast("array<struct<h:bigint,m:int>>")))
+    df = df.withColumn("_least", F.when(F.size("_placed") >= W, least).otherwise(F.array().cast("array<struct<h:bigint,m:int>>")))
+    # a fingerprint is kept by windows in a row, so repeats are next to each other
+    kept = F.filter("_least", lambda x, i: (i == 0) | (F.get(F.col("_least"), i - 1)["m"] != x["m"]))
     every = [F.transform(kept, lambda x: F.struct(x["h"].alias("h"), (-x["m"]).alias("p"), F.lit(SPAN).alias("size")))]
     for n in short:
         df = df.withColumn(f"_short{n}", _runs("_wh", n))
