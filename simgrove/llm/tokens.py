@@ -4,12 +4,17 @@ Both vocabularies split a text before their merges, and no part of that split ho
 by white space. So a text may be cut there and its pieces encoded apart: the ids, joined, are those of the whole
 text. Pieces repeat far more often than texts, so a worker keeps the ids of the pieces it has met. Texts with other
 white space than blank, tab and line ends, or with a special token's string, are encoded whole.
+
+A new piece that is a word and closing marks is put together from the ids of both, since no split holds a letter and a
+mark. A word of Latin letters is one split and needs no normalizing but lower case, so it goes to the tokenizer's own
+BPE model at once; the encoder probes at its start that this gives the tokenizer's ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -17,9 +22,22 @@ from simgrove.llm.common import _OTHER_SPACE, ragged
 
 _RARE = re.compile(f"[\v\f{_OTHER_SPACE}]|<\\|")
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKED = re.compile(rf"([ \n\r\t]*[^\s<]*[{_LETTERS}])([,.;:!?*$%&#|]+)")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+_PROBE = "a I Zu the Übermaß château niños Ærø ÿ running Xylophonists ciónquemies Èeauê öberein"
 _ENCODERS: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - own))}
+
+
+_BYTES = _byte_letters()
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer file."""
     import public_tokenizers
@@ -30,7 +48,8 @@ def vocabulary(name: str) -> str:
 class PieceEncoder(dict):
     """Piece of text -> its number among the pieces whose ids are kept."""
 
-    LIMIT = 1_200_000
+    #: Pieces kept at most between batches; beyond it the first KEEP stay, which hold nearly all frequent ones.
+    LIMIT, KEEP = 1_200_000, 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,16 +57,24 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        encode = self.tokenizer.encode
-        self.drops_space = encode("a \n b", add_special_tokens=False).ids == encode("a b", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops_space = encode("a \n b") == encode("a b")
+        self.lowers = encode("THE QUICK ÀÉÖ") == encode("the quick àéö")
+        self.model = self.tokenizer.model
+        words = _PROBE.split() + ([] if self.drops_space else [f" {w}" for w in _PROBE.split()])
+        self.direct = [self.word(w) for w in words] == [encode(w) for w in words]
         self.fresh: list[str] = []
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def forget(self) -> None:
+        """Drop the pieces met last."""
+        for piece in list(self)[self.KEEP :]:
+            del self[piece]
+        self.at, self.size = self.at[: len(self)].copy(), self.size[: len(self)].copy()
+        self.used = int((self.at + self.size).max(initial=0))
+        self.flat = self.flat[: max(1, self.used)].copy()
+
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
         self.fresh.append(piece)
@@ -58,21 +85,47 @@ class PieceEncoder(dict):
             return [text]
         return text.split() if self.drops_space else _PIECE.findall(text)
 
+    def word(self, piece: str) -> list[int]:
+        """The ids of a piece that _WORD matches, by the model alone."""
+        piece = piece.lower() if self.lowers else piece
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+
     def learn(self) -> None:
+        """Find the ids of the fresh pieces."""
         if not self.fresh:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch(self.fresh, add_special_tokens=False)]
+        first = len(self.at)
+        marked, plain = [], []
+        for n, piece in enumerate(self.fresh, first):
+            if m := _MARKED.fullmatch(piece):
+                marked.append((n, m[1], m[2]))
+            else:
+                plain.append((n, piece))
+        known = len(self)
+        parts = np.array([(n, self[word], self[marks]) for n, word, marks in marked], np.int64).reshape(-1, 3)
+        plain += enumerate(self.fresh[known - first :], known)
+        ids: list = [self.word(p) if self.direct and _WORD.fullmatch(p) else None for _, p in plain]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([plain[k][1] for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        self.fresh = []
+        more = len(self) - first
+        self.at, self.size = np.append(self.at, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+        which = np.fromiter((n for n, _ in plain), np.int64, len(plain))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        self._store(which, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+        both = parts[:, 1:].reshape(-1)
+        size = self.size[both]
+        self._store(parts[:, 0], size.reshape(-1, 2).sum(1), self.flat[ragged(self.at[both], size)])
+
+    def _store(self, which: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
             grown = np.empty(max(2 * len(self.flat), self.used + len(flat)), np.uint32)
             grown[: self.used] = self.flat[: self.used]
             self.flat = grown
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self.at[which], self.size[which] = self.used + np.cumsum(size) - size, size
         self.used += len(flat)
-        self.fresh = []
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each followed by the end id; and their number for each text."""
