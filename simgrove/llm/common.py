@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -111,7 +112,27 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-word_hashes = WordHashes()
+class Kept(dict):
+    """What operators keep in a worker process from task to task. Spark hands a worker on from stage to stage, so what
+    one operator kept is freed before another fills its own."""
+
+    def of(self, name: str, make):
+        if name not in self:
+            if self:
+                self.clear()
+                if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed pages go back at once
+                    trim(0)
+            self[name] = make()
+        return self[name]
+
+
+kept = Kept()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return kept.of("word hashes", WordHashes).of(words)
+
+
 #: str.translate table that lower-cases A-Z alone.
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 

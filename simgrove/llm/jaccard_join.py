@@ -37,7 +37,7 @@ _XOR = (mix64(_seed[HASHES:] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word 5-grams; a text of fewer words is one shingle, one without
     words has none. Words are runs without white space, with A-Z lower-cased."""
-    h = word_hashes.of(words_of(lower_az(text))) if text else np.empty(0, np.uint64)
+    h = word_hashes(words_of(lower_az(text))) if text else np.empty(0, np.uint64)
     if not len(h):
         return h
     k = min(SHINGLE, len(h))

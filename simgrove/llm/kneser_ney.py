@@ -31,7 +31,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str) -> np.ndarray:
-    return np.append(word_hashes.of(words_of(lower_az(text))), END)
+    return np.append(word_hashes(words_of(lower_az(text))), END)
 
 
 def bigram_keys(h: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 
-from simgrove.llm.common import _OTHER_SPACE, ragged
+from simgrove.llm.common import _OTHER_SPACE, kept, ragged
 
 _RARE = re.compile(f"[\v\f{_OTHER_SPACE}]|<\\|")
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
@@ -26,7 +26,6 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKED = re.compile(rf"([ \n\r\t]*[^\s<]*[{_LETTERS}])([,.;:!?*$%&#|]+)")
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
 _PROBE = "a I Zu the Übermaß château niños Ærø ÿ running Xylophonists ciónquemies Èeauê öberein"
-_ENCODERS: dict = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -149,10 +148,8 @@ class PieceEncoder(dict):
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """The worker's own for this vocabulary."""
+    return kept.of(path, lambda: PieceEncoder(path))
 
 
 def groups_of(texts: list[str], chars: int = 2_000_000):
