@@ -103,6 +103,24 @@ def test_divergence(spark):
     assert len(got) == len(rows) and D.judge(df.limit(0)).count() == 0
 
 
+def test_divergence_of_other_languages(spark):
+    from simgrove.llm import divergence as D
+
+    rng = np.random.default_rng(4)
+    fill = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 6)) for _ in range(400)]
+
+    def text(lang, n, common=0.14):
+        return " ".join(str(rng.choice(D.COMMON_WORDS[lang] if rng.random() < common else fill)) for _ in range(n))
+
+    clean = [(k, text(k, int(n))) for k in D.COMMON_WORDS for n in rng.integers(80, 400, 40)]
+    wrong = [("en", text("de", 200)), ("es", text("fr", 250)), ("fr", text("es", 250)), ("de", text("en", 200))]
+    bare = [(k, text(k, 100, 0.0)) for k in D.COMMON_WORDS]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*clean, *wrong, *bare])], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in D.judge(df).collect()}
+    assert all(got[i].kept for i in range(len(clean)))
+    assert not any(got[i].kept or got[i].base_failed or got[i].char_distance > D.MAX_CHAR_DISTANCE for i in range(len(clean), len(got)))
+
+
 def test_packing(spark):
     from simgrove.llm import packing as P
 
