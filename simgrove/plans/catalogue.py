@@ -164,9 +164,12 @@ def embedding_trace(spark, d):
 
 @_query()
 def alignment_trace_paths(spark, d):
-    turns = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
-    t = X.alignment_trace(_pairs(turns, "tokens", "a_tokens", "b_tokens"), "needleman-wunsch")
-    return t.select("a", "b", F.explode("path").alias("p")).select("a", "b", "p.*")
+    return X.alignment_steps(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b"), "needleman-wunsch")
+
+
+@_query()
+def edit_trace_paths(spark, d):
+    return X.alignment_steps(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b"), "levenshtein")
 
 
 @_query(_VEC + " SELECT x.label, x.id AS i, y.id AS j, round(1 - greatest(-1, least(1, list_dot_product(x.vec, y.vec))), 6) AS d FROM v x JOIN v y ON x.label = y.label AND x.id < y.id")
