@@ -1,7 +1,7 @@
 """Named queries over the whole tables and the SQL they are held against.
 
 Operators on pairs take as left side every row whose id is divisible by 50 (QUERY_STEP) against all rows. Clustering
-runs by source (documents) or label (embeddings): whole tables, a task for each group.
+runs by label (embeddings): the whole table, a task for each group. No query clusters documents.
 """
 
 from __future__ import annotations
