@@ -2,16 +2,20 @@
 
 Counting. Words are 64-bit hashes. Tasks count a bounded stretch of text at a time with array sorts and deal the counts
 to buckets. A bigram's key is a prefix of its context's hash and then bits of both words, so a context's bigrams meet
-in one bucket; contexts with a fair share of all tokens (at most 4 x buckets of them, known from the exact unigram
-counts) are dealt by both words instead, so no bucket grows with a frequent word. Each bucket is merged apart and
-written as two files in the shared folder: sorted keys and their counts. A second, smaller shuffle brings each word's
-count, the number of its left neighbours and the figures of its followers together, again as sorted arrays.
+in one bucket; contexts with more than a bucket's fair share of all tokens (fewer than there are buckets, known from
+the exact unigram counts) are dealt by both words instead, so no bucket grows with a frequent word. The number of
+buckets follows the tokens counted. Each bucket is merged apart and written as two files in the shared folder: sorted
+keys and their counts. A second, smaller shuffle brings each word's count, the number of its left neighbours and the
+figures of its followers together, again as sorted arrays.
 
-Scoring. Workers memory-map the arrays; lookups of a stretch of text are sorted first, so they walk each file once.
-Only a manifest of the files and a few totals go through the driver.
+Scoring. Workers memory-map a bucket's arrays for as long as they look it up (a folder that can't be mapped is read
+bucket by bucket); lookups of a stretch of text are sorted first, so they walk each file once. Only a manifest of the
+files and a few totals go through the driver.
 
 P(w|h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) P1(w), and P1 likewise from the numbers of left neighbours, backed by
-1 / (V + 1). Order 2: a third word multiplies the model and its shuffle beyond the disk that the input's size allows.
+1 / (V + 1). Order 2, for the disk: in 0.51 GB of documents 136 million tokens make 48 million distinct bigrams and 89
+million trigrams. Trigrams counted by stretches of 2.5 million tokens are 116 million rows, at three words each 3.3 times
+the input to shuffle and 1.8 times to keep, on top of the bigrams' 3 times; the limit is 4.
 """
 
 from __future__ import annotations
@@ -20,29 +24,35 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, lower_az, map_array, mix64, put_file, shared_dir, stored, text_of, word_hashes, words_of
+from simgrove.llm.common import bounded_batches, hashed_words, map_array, mix64, put_file, shared_dir, slices, stored, text_bytes, text_of
 
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-#: Tokens that a task holds before it counts or scores them.
-HELD = 2_500_000
+#: Bytes of text that a task counts or scores at a time (a longer text alone), and tokens that fill a bucket.
+HELD, BUCKET = 12_000_000, 1 << 22
+#: Bits of a key that name its place among the buckets.
+PREFIX = 20
 MODULUS, HELD_OUT = 7, 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str) -> np.ndarray:
-    return np.append(word_hashes(words_of(lower_az(text))), END)
-
-
 def bigram_keys(h: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """16 bits of the context (of both words for heavy contexts), then 48 bits of both words."""
-    both = mix64(mix64(h) + w * _GOLD)
-    prefix = mix64(h) >> np.uint64(48)
+    """PREFIX bits of the context (of both words for heavy contexts), then bits of both words."""
+    rest = np.uint64(64 - PREFIX)
+    own = mix64(h)
+    both = w * _GOLD
+    both += own
+    both = mix64(both)
+    own >>= rest
     if len(heavy):
         at = np.searchsorted(heavy, h)
-        hot = heavy[np.minimum(at, len(heavy) - 1)] == h
-        prefix[hot] = mix64(both[hot]) >> np.uint64(48)
-    return (prefix << np.uint64(48)) | (both & np.uint64((1 << 48) - 1))
+        np.minimum(at, len(heavy) - 1, out=at)
+        hot = heavy[at] == h
+        own[hot] = mix64(both[hot]) >> rest
+    own <<= rest
+    both &= np.uint64((1 << (64 - PREFIX)) - 1)
+    both |= own
+    return both
 
 
 def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,18 +68,23 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
 
 
 def _stretches(batches):
-    """Bounded stretches of texts: their tokens and the texts' lengths, with the rows' other columns."""
-    held, ids, n = [], [], 0
+    """Bounded stretches of texts: their tokens and the texts' lengths, with the rows' first column."""
+    held, n = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held.append(tokens(text))
-            ids.append(doc)
-            n += len(held[-1])
-            if n >= HELD:
-                yield ids, np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
-                held, ids, n = [], [], 0
+        raw, at = text_bytes(batch.column("text"))
+        for first, last in slices(at, HELD):
+            if held and n + at[last] - at[first] > HELD:
+                yield _joined_up(held)
+                held, n = [], 0
+            words, sizes = hashed_words(raw[at[first] : at[last]], at[first : last + 1] - at[first])
+            held.append((batch.column(0)[first:last].to_pylist(), np.insert(words, np.cumsum(sizes), END), sizes + 1))
+            n += at[last] - at[first]
     if held:
-        yield ids, np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+        yield _joined_up(held)
+
+
+def _joined_up(held: list):
+    return [x for h in held for x in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
 
 
 def _contexts(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -114,10 +129,20 @@ def _merge_unigrams(bits: int):
         import pyarrow as pa
 
         keys, _, counts = _counted(_joined(table, "a", np.uint64), _joined(table, "b", np.uint64))
-        top = keys[counts * np.uint64(4 << bits) >= counts.sum()]
-        top = top if len(top) <= 4 << bits else top[: 4 << bits]
-        at = np.searchsorted(keys, top)
-        return pa.table({"kind": ["c"], "bucket": [table.column("bucket")[0].as_py()], "a": [keys.tobytes()], "b": [counts.tobytes()], "c": [np.stack([top, counts[at]]).tobytes()], "d": [np.array([counts.sum(), len(keys)], np.uint64).tobytes()]}, schema=_schema())
+        return pa.table({"kind": ["c"], "bucket": [table.column("bucket")[0].as_py()], "a": [keys.tobytes()], "b": [counts.tobytes()], "c": [b""], "d": [np.array([counts.sum()], np.uint64).tobytes()]}, schema=_schema())
+
+    return run
+
+
+def _frequent(least: int):
+    """The words counted so often."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for keys, counts in zip(*(batch.column(k).to_pylist() for k in "ab"), strict=True):
+                yield pa.record_batch({"word": pa.array([np.frombuffer(keys, np.uint64)[np.frombuffer(counts, np.uint64) >= least].tobytes()], pa.binary())})
 
     return run
 
@@ -134,7 +159,8 @@ def _bigrams(bits: int, heavy: np.ndarray):
             h = _contexts(w, sizes)
             keys, at, counts = _counted(bigram_keys(h, w, heavy))
             # contexts in runs, which say each context once
-            order = np.argsort((keys >> np.uint64(48) << np.uint64(48)) | (mix64(h[at]) >> np.uint64(16)))
+            rest = np.uint64(64 - PREFIX)
+            order = np.argsort((keys >> rest << rest) | (mix64(h[at]) >> np.uint64(PREFIX)))
             keys, at, counts = keys[order], at[order], counts[order]
             own, bucket = h[at], keys >> np.uint64(64 - bits)
             first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
@@ -152,7 +178,7 @@ def _counts_of_counts(x: np.ndarray) -> list[int]:
     return [int((x == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_bigrams(bits: int, heavy: np.ndarray, folder: str):
+def _merge_bigrams(word_bits: int, heavy: np.ndarray, folder: str):
     def run(table):
         import pyarrow as pa
 
@@ -164,10 +190,10 @@ def _merge_bigrams(bits: int, heavy: np.ndarray, folder: str):
         files = [put_file(folder, f"bigram-{bucket:05d}-{n}", x.tobytes()) for n, x in (("keys", keys), ("counts", c.astype(np.uint32)))]
         out = [pa.RecordBatch.from_arrays([pa.array([x]) for x in ("m",)] + [pa.array([bucket], pa.int32())] + [pa.array([x], pa.binary()) for x in (files[0].encode(), files[1].encode(), np.array([len(keys), *_counts_of_counts(c)], np.int64).tobytes(), b"")], schema=_schema())]
         words, _, left = _counted(w)
-        out.append(_by_bucket(words >> np.uint64(64 - bits), {"a": words, "b": left.astype(np.uint32)}, "w"))
+        out.append(_by_bucket(words >> np.uint64(64 - word_bits), {"a": words, "b": left.astype(np.uint32)}, "w"))
         kinds = np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64)
         contexts, _, figures = _counted(h, kinds)
-        out.append(_by_bucket(contexts >> np.uint64(64 - bits), {"a": contexts, "b": figures[:, 0].copy(), "c": figures[:, 1:].astype(np.uint32)}, "h"))
+        out.append(_by_bucket(contexts >> np.uint64(64 - word_bits), {"a": contexts, "b": figures[:, 0].copy(), "c": figures[:, 1:].astype(np.uint32)}, "h"))
         return pa.Table.from_batches([x.cast(_schema()) for x in out])
 
     return run
@@ -213,27 +239,22 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """What workers need: files by bucket, totals, discounts. Small; the arrays stay in their files."""
 
-    def __init__(self, bits: int, heavy: np.ndarray, bigrams: dict, words: dict, bigram_n: list[int], word_totals: list[int]):
-        self.bits, self.heavy, self.bigrams, self.words = bits, heavy, bigrams, words
+    def __init__(self, bits: int, word_bits: int, heavy: np.ndarray, bigrams: dict, words: dict, bigram_n: list[int], word_totals: list[int]):
+        self.heavy, self.bigrams, self.words = heavy, (bits, bigrams), (word_bits, words)
         self.tokens, self.vocabulary, self.pairs = word_totals[:3]
         self.d2, self.d1 = discounts(bigram_n), discounts(word_totals[3:7])
         one, two, more = word_totals[3], word_totals[4], word_totals[7]
         self.back1 = float(self.d1 @ np.array([0, one, two, more])) / self.pairs if self.pairs else 1.0
 
-    _maps: dict = {}
-
-    def _find(self, files: dict, queries: np.ndarray, dtype) -> np.ndarray:
+    def _find(self, table: tuple[int, dict], queries: np.ndarray, dtype) -> np.ndarray:
         """The values of sorted queries, zero where the key is absent."""
+        bits, files = table
         out = np.zeros(len(queries), dtype)
-        which = queries >> np.uint64(64 - self.bits)
-        edges = np.searchsorted(which, np.arange((1 << self.bits) + 1, dtype=np.uint64))
-        for b, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        edges = np.append(np.searchsorted(queries, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(queries))
+        for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if s == e or b not in files:
                 continue
-            for path, kind in zip(files[b], (np.dtype(np.uint64), dtype), strict=True):
-                if path not in self._maps:
-                    self._maps[path] = map_array(path, kind)
-            keys, values = (self._maps[p] for p in files[b])
+            keys, values = (map_array(path, kind) for path, kind in zip(files[b], (np.uint64, dtype), strict=True))
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, queries[s:e]), len(keys) - 1)
                 hit = keys[at] == queries[s:e]
@@ -274,20 +295,20 @@ def train(docs: DataFrame) -> Model:
     word gets 1 / (V + 1) = 1."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    bits = min(16, max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    word_bits = min(14, max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     folder = f"{shared_dir(spark)}.kn"
-    own = stored(docs.mapInArrow(_unigrams(bits), ROWS).groupBy("bucket").applyInArrow(_merge_unigrams(bits), ROWS))
-    tops = own.select("c", "d").collect()  # a few words and two totals for each bucket
-    n = sum(int(np.frombuffer(r["d"], np.uint64)[0]) for r in tops)
-    heavy = np.sort(np.concatenate([np.empty(0, np.uint64)] + [t[0][t[1] * np.uint64(4 << bits) >= n] for t in (np.frombuffer(r["c"], np.uint64).reshape(2, -1) for r in tops)]))
-    heavy = np.union1d(heavy, np.array([BEGIN], np.uint64))
-    merged = stored(docs.mapInArrow(_bigrams(bits, heavy), ROWS).groupBy("bucket").applyInArrow(_merge_bigrams(bits, heavy, folder), ROWS))
+    own = stored(docs.mapInArrow(_unigrams(word_bits), ROWS).groupBy("bucket").applyInArrow(_merge_unigrams(word_bits), ROWS))
+    n = sum(int(np.frombuffer(r["d"], np.uint64)[0]) for r in own.select("d").collect())  # a number for each bucket
+    bits = min(PREFIX, max(word_bits, (n // BUCKET).bit_length()))
+    often = own.select("a", "b").mapInArrow(_frequent((n >> bits) + 1), "word binary").collect()  # fewer words than buckets
+    heavy = np.union1d(np.frombuffer(b"".join(r["word"] for r in often), np.uint64), np.array([BEGIN], np.uint64))
+    merged = stored(docs.mapInArrow(_bigrams(bits, heavy), ROWS).groupBy("bucket").applyInArrow(_merge_bigrams(word_bits, heavy, folder), ROWS))
     parts = own.select("kind", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d")).unionByName(merged.where("kind <> 'm'"))
     words = stored(parts.groupBy("bucket").applyInArrow(_merge_words(folder), ROWS)).collect()
     pairs = merged.where("kind = 'm'").collect()  # a row for each bucket
     total = lambda rows, k: np.sum([np.frombuffer(r["c"], np.int64) for r in rows] or [np.zeros(k, np.int64)], axis=0).tolist()
     files = lambda rows: {r["bucket"]: (bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in rows}
-    return Model(bits, heavy, files(pairs), files(words), total(pairs, 5)[1:], total(words, 8))
+    return Model(bits, word_bits, heavy, files(pairs), files(words), total(pairs, 5)[1:], total(words, 8))
 
 
 def _scored(model: Model):

@@ -18,8 +18,9 @@ from itertools import chain
 
 import numpy as np
 
-from simgrove.llm.common import _OTHER_SPACE, kept, ragged
+from simgrove.llm.common import kept, ragged
 
+_OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
 _RARE = re.compile(f"[\v\f{_OTHER_SPACE}]|<\\|")
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"

@@ -40,9 +40,7 @@ def base_figures(text):
 
 
 def shingles(text, k=5):
-    from simgrove.llm.common import lower_az, words_of
-
-    w = words_of(lower_az(text or ""))
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return set()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}

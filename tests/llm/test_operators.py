@@ -217,6 +217,19 @@ def test_jaccard(spark):
     assert odd == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4} and J.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_groups_cut_anew(spark, monkeypatch):
+    from simgrove.llm import jaccard_join as J
+
+    for name in ("SURE", "TIE_BLOCK", "LEAST_BLOCK"):
+        monkeypatch.setattr(J, name, 4)
+    rng = random.Random(3)
+    base = [str(rng.randrange(500)) for _ in range(60)]
+    near = [" ".join(w if rng.random() > 0.012 else f"e{rng.randrange(9)}" for w in base) for _ in range(60)]
+    far = [" ".join(base[:k] + [f"x{j}{i}" for i in range(60 - k)]) for j, k in enumerate((20, 40, 45, 50, 30) * 4)]
+    rows = [*enumerate([*near, *far]), *[(1000 + i, t) for i, t in texts(60, 10)]]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(docs(spark, rows)).collect()} == brute.near_classes(rows)
+
+
 def test_jaccard_blocks(monkeypatch):
     from simgrove.llm import jaccard_join as J
 
