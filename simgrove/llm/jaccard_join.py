@@ -32,7 +32,7 @@ STRETCH, TOLERANCE = 32, 1e-7
 #: Classes in a block: LEAST_BLOCK while a group has at most SPREAD blocks, then up to BLOCK; and shingles in a block.
 LEAST_BLOCK, SPREAD, BLOCK, BLOCK_SHINGLES = 64, 32, 256, 1_000_000
 #: Groups of more classes are cut anew by their pruned ties, in blocks of so many classes.
-SURE, TIE_BLOCK = 256, 1024
+SURE, TIE_BLOCK = 4096, 1024
 #: Bytes of text that are hashed at a time.
 HELD = 8_000_000
 
@@ -289,6 +289,14 @@ def _block(blocks: str):
     return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
 
 
+def _thinned(ties: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of ties (node, low): of a node's up to BANDS ties or more the least stays; it is
+    tied to the others' ends, of which a group has few."""
+    ties = stored(ties.withColumn("a", F.min("low").over(Window.partitionBy("node"))))
+    ends = ties.select("a", F.col("low").alias("b")).where("a <> b").distinct()
+    return ties.select("a", F.col("node").alias("b")).distinct().union(ends)
+
+
 def _cut_anew(groups: DataFrame, banded: DataFrame, same: DataFrame) -> DataFrame:
     """(node, comp) with the groups beyond SURE cut by their pruned ties."""
     wide = stored(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SURE).select("comp"))
@@ -302,7 +310,7 @@ def _cut_anew(groups: DataFrame, banded: DataFrame, same: DataFrame) -> DataFram
     sets = sets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / TIE_BLOCK).cast("int").alias("blocks"))
     dealt = _dealt(with_few(met, sets, "band").withColumn("block", _block("blocks")), "band", "blocks").select("band", "left", "right", "block", "node")
     ties = dealt.join(same.select("node", "sig"), "node").groupBy("band", "left", "right").applyInArrow(_tied, "node long, root long")
-    fresh = components(ties.select(F.col("root").alias("a"), F.col("node").alias("b")).distinct())
+    fresh = components(_thinned(ties.select("node", F.col("root").alias("low")).distinct()))
     return stored(marked.where("wide is null").select("node", "comp").union(fresh.select("node", "comp")))
 
 
@@ -322,11 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = stored(signed.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
     banded = same.where("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low")
-    ties = banded.join(shared, "band").where("node <> low").select("node", "low").distinct()
-    # of a node's up to BANDS ties the least stays; it is tied to the others' ends, of which a group has few
-    ties = stored(ties.withColumn("a", F.min("low").over(Window.partitionBy("node"))))
-    ends = ties.select("a", F.col("low").alias("b")).where("a <> b").distinct()
-    groups = _cut_anew(components(ties.select("a", F.col("node").alias("b")).distinct().union(ends)), banded, same)
+    groups = _cut_anew(components(_thinned(banded.join(shared, "band").where("node <> low").select("node", "low").distinct())), banded, same)
     slim = same.select("node", "th", "rep", "copies", "size")
     sized = stored(groups.join(slim, "node"))
     n, least, most = F.count(F.lit(1)), F.ceil(F.sum("size") / BLOCK_SHINGLES), lambda size: F.ceil(F.count(F.lit(1)) / size)
@@ -339,7 +343,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hashed = texts.join(members.drop("rep"), "th").select("node", "copies", "comp", "block", "blocks", "text").mapInArrow(_hashed, "node long, copies long, comp long, block int, blocks int, hashes binary")
     dealt = _dealt(hashed, "comp", "blocks").drop("other")
     found = stored(dealt.groupBy("comp", "left", "right").applyInArrow(_compare, "node long, links long, root long"))
-    classes = components(found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    classes = components(_thinned(found.where("node <> root").select("node", F.col("root").alias("low")).distinct()))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = stored(slim.join(classes, "node").join(counted, "node").select("node", "comp", "rep", "links"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("class_id"))

@@ -29,7 +29,7 @@ from simgrove.llm.common import bounded_batches, hashed_words, map_array, mix64,
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Bytes of text that a task counts or scores at a time (a longer text alone), and tokens that fill a bucket.
-HELD, BUCKET = 12_000_000, 1 << 22
+HELD, BUCKET = 12_000_000, 1 << 21
 #: Bits of a key that name its place among the buckets.
 PREFIX = 20
 MODULUS, HELD_OUT = 7, 2
@@ -124,14 +124,11 @@ def _joined(table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
 
 
-def _merge_unigrams(bits: int):
-    def run(table):
-        import pyarrow as pa
-
-        keys, _, counts = _counted(_joined(table, "a", np.uint64), _joined(table, "b", np.uint64))
-        return pa.table({"kind": ["c"], "bucket": [table.column("bucket")[0].as_py()], "a": [keys.tobytes()], "b": [counts.tobytes()], "c": [b""], "d": [np.array([counts.sum()], np.uint64).tobytes()]}, schema=_schema())
+def _merge_unigrams(table):
+    import pyarrow as pa
 
-    return run
+    keys, _, counts = _counted(_joined(table, "a", np.uint64), _joined(table, "b", np.uint64))
+    return pa.table({"kind": ["c"], "bucket": [table.column("bucket")[0].as_py()], "a": [keys.tobytes()], "b": [counts.tobytes()], "c": [b""], "d": [np.array([counts.sum()], np.uint64).tobytes()]}, schema=_schema())
 
 
 def _frequent(least: int):
@@ -295,16 +292,17 @@ def train(docs: DataFrame) -> Model:
     word gets 1 / (V + 1) = 1."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    word_bits = min(14, max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    first_bits = min(14, max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     folder = f"{shared_dir(spark)}.kn"
-    own = stored(docs.mapInArrow(_unigrams(word_bits), ROWS).groupBy("bucket").applyInArrow(_merge_unigrams(word_bits), ROWS))
+    own = stored(docs.mapInArrow(_unigrams(first_bits), ROWS).groupBy("bucket").applyInArrow(_merge_unigrams, ROWS))
     n = sum(int(np.frombuffer(r["d"], np.uint64)[0]) for r in own.select("d").collect())  # a number for each bucket
-    bits = min(PREFIX, max(word_bits, (n // BUCKET).bit_length()))
+    bits = min(PREFIX, max(4, (n // BUCKET).bit_length()))
+    word_bits = min(bits, first_bits)
     often = own.select("a", "b").mapInArrow(_frequent((n >> bits) + 1), "word binary").collect()  # fewer words than buckets
     heavy = np.union1d(np.frombuffer(b"".join(r["word"] for r in often), np.uint64), np.array([BEGIN], np.uint64))
     merged = stored(docs.mapInArrow(_bigrams(bits, heavy), ROWS).groupBy("bucket").applyInArrow(_merge_bigrams(word_bits, heavy, folder), ROWS))
-    parts = own.select("kind", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d")).unionByName(merged.where("kind <> 'm'"))
-    words = stored(parts.groupBy("bucket").applyInArrow(_merge_words(folder), ROWS)).collect()
+    own = own.select("kind", F.shiftright("bucket", first_bits - word_bits).alias("bucket"), "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d"))
+    words = stored(own.unionByName(merged.where("kind <> 'm'")).groupBy("bucket").applyInArrow(_merge_words(folder), ROWS)).collect()
     pairs = merged.where("kind = 'm'").collect()  # a row for each bucket
     total = lambda rows, k: np.sum([np.frombuffer(r["c"], np.int64) for r in rows] or [np.zeros(k, np.int64)], axis=0).tolist()
     files = lambda rows: {r["bucket"]: (bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in rows}
