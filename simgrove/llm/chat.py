@@ -52,7 +52,7 @@ _BYTES: dict = {}
 
 def _decoder(path: str) -> dict[int, bytes]:
     if path not in _BYTES:
-        _BYTES[path] = _id_bytes(encoder(path).tokenizer) | {k: v.encode() for k, v in SURFACE.items()}
+        _BYTES[path] = _id_bytes(encoder(path, plain=True).tokenizer) | {k: v.encode() for k, v in SURFACE.items()}
     return _BYTES[path]
 
 
@@ -60,8 +60,7 @@ def _segments(path: str):
     def run(batches):
         import pyarrow as pa
 
-        tok = encoder(path)
-        tok.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        tok = encoder(path, plain=True)  # a special token's string in a text is text
         for batch in batches:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             ids, sizes = tok.encode([escape(x) for pair in zip(roles, texts, strict=True) for x in pair])

@@ -232,6 +232,12 @@ def lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER_AZ)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values: np.unique by a sort, which is many times faster than its hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start+1, ... of each stretch, one stretch after the other."""
     total = int(lengths.sum())

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, hashed_words, mix64, slices, small, stored, text_bytes, with_few
+from simgrove.llm.common import bounded_batches, distinct, hashed_words, mix64, slices, small, stored, text_bytes, with_few
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -72,7 +72,7 @@ def shingles(texts: list[str] | str | None) -> list[np.ndarray] | np.ndarray:
 def _sets(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     s, n = _grams(raw, at)
     ends = np.cumsum(n)
-    return [np.unique(s[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+    return [distinct(s[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:

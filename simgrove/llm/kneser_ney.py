@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, hashed_words, map_array, mix64, put_file, shared_dir, slices, stored, text_bytes, text_of
+from simgrove.llm.common import bounded_batches, distinct, hashed_words, map_array, mix64, put_file, shared_dir, slices, stored, text_bytes, text_of
 
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -207,7 +207,7 @@ def _merge_words(folder: str):
 
         part = {k: table.filter(pc.equal(table.column("kind"), k)) for k in ("c", "w", "h")}
         cut = {k: _joined(t, "a", np.uint64) for k, t in part.items()}
-        keys = np.unique(np.concatenate([*cut.values()]))
+        keys = distinct(np.concatenate([*cut.values()]))
         x = np.zeros(len(keys), FIGURES)
         at = {k: np.searchsorted(keys, v) for k, v in cut.items()}
         c, left, t = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)

@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, text_of
-from simgrove.llm.tokens import encoder, groups_of, vocabulary
+from simgrove.llm.common import bounded_batches, slices, text_bytes, text_of
+from simgrove.llm.tokens import GROUP_BYTES, encoder, vocabulary
 
 WINDOW, END = 1024, 0
 #: Ids that a task holds before it packs and emits them.
@@ -103,9 +103,9 @@ def _packed(path: str, end: int):
             held, n, sequence = [], 0, sequence + windows
 
         for batch in batches:
-            texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in groups_of(texts):
-                ids, sizes = tok.encode(texts[a:b], end)
+            (raw, at), docs = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            for a, b in slices(at, GROUP_BYTES):
+                ids, sizes = tok.encode_bytes(raw[at[a] : at[b]], at[a : b + 1] - at[a], end)
                 held.append((docs[a:b], ids, sizes))
                 n += len(ids)
                 if n >= HELD_IDS:

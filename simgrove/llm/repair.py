@@ -1,13 +1,15 @@
 """Operator 1: token ids in Re-Pair compressed blocks that decode from any place.
 
-Documents are encoded in ascending doc_id order and gathered in blocks of about BLOCK_IDS ids. In a block, rounds of
-Re-Pair replace the most frequent adjacent pairs by nonterminals; pairs don't cross documents. A round replaces a batch
-of pairs found in the same count, which keeps each round a few array passes. Rules are stored with the lengths they
-expand to, so a place in a document is found by sums of lengths, and only the symbols there are expanded.
+Documents are encoded in ascending doc_id order; a shard is a range of doc_id and a row of files in blocks of about
+BLOCK_IDS ids, each with a grammar of its own, so that memory is bounded and a block decodes alone. Rounds of Re-Pair
+replace frequent adjacent pairs by nonterminals, the most frequent ones first, until no pair repays its rule; pairs
+don't cross documents. A round replaces all pairs of its class of frequency, which keeps it a few array passes, and later
+rounds look only beside the symbols that the last one made. Rules are stored with the lengths they expand to, so a
+place in a document is found by sums of lengths, and only the symbols there are expanded.
 
 The file format is a Parquet table of blocks (columns in BLOCK_SCHEMA, numbers little-endian), written by Spark: its
-commit keeps blocks of lost or repeated attempts out. Shards are ranges of doc_id; a block knows where it starts in its
-shard, and the sums of the shards (a row each) give where a shard starts among all documents.
+commit keeps blocks of lost or repeated attempts out. A block knows where it starts in its shard, and the sums of the
+shards (a row each) give where a shard starts among all documents.
 """
 
 from __future__ import annotations
@@ -16,74 +18,119 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, shared_dir, text_of
-from simgrove.llm.tokens import encoder, groups_of, vocabulary
+from simgrove.llm.common import bounded_batches, ragged, shared_dir, slices, text_bytes, text_of
+from simgrove.llm.tokens import GROUP_BYTES, encoder, vocabulary
 
 END = 2
 BLOCK_IDS = 1_500_000
 #: Nonterminals count from here on.
 FIRST_RULE = 1 << 20
-#: Rounds at most, pairs at most in a round, uses that a pair needs; a round that saves less than LEAST_GAIN is the last.
-ROUNDS, BATCH, LEAST_USES, LEAST_GAIN = 6, 8192, 6, 0.01
-BLOCK_SCHEMA = "shard int, start long, n_tokens long, doc_ids array<bigint>, doc_tokens binary, doc_symbols binary, rules binary, rounds binary, lengths binary, symbols binary"
+#: A rule takes three numbers (its pair and its length), so that a pair repays it from so many uses on.
+LEAST_USES = 4
+#: Uses that a pair needs in the first rounds; then LEAST_USES.
+CLASSES = (64, 16)
+BLOCK_SCHEMA = "shard int, start long, n_tokens long, first_id long, last_id long, doc_ids array<bigint>, doc_tokens binary, doc_symbols binary, rules binary, rounds binary, lengths binary, symbols binary"
+
+
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur so often, sorted, and how often."""
+    ordered = np.sort(code)
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    count = np.diff(np.append(edge, len(ordered)))
+    often = count >= least
+    return ordered[edge[often]], count[often]
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places at (ascending) to replace: of two in a row, which overlap, the pair of the higher rank, and
+    of one pair's own every second one."""
+    best, open_ = np.zeros(len(at), bool), np.ones(len(at), bool)
+    for _ in range(3):
+        k = np.flatnonzero(open_)
+        if not len(k):
+            break
+        near = np.diff(at[k]) == 1
+        left, right = np.concatenate([[False], near]), np.concatenate([near, [False]])
+        own = rank[k]
+        wins = (~left | (own > np.concatenate([own[:1], own[:-1]]))) & (~right | (own > np.concatenate([own[1:], own[-1:]])))
+        best[k[wins]] = True
+        gone = wins.copy()
+        gone[1:] |= near & wins[:-1]
+        gone[:-1] |= near & wins[1:]
+        open_[k[gone]] = False
+    k = np.flatnonzero(open_)
+    if len(k):
+        first = np.concatenate([[True], np.diff(at[k]) != 1])
+        best[k] = (np.arange(len(k)) - np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))) % 2 == 0
+    return best
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     """ids of documents (of the given sizes, one after the other) -> rules, their rounds' ends, lengths, symbols and
-    each document's number of symbols."""
+    each document's number of symbols. In the end no pair occurs LEAST_USES times apart."""
     s = ids.astype(np.int64)
     starts = np.zeros(len(s) + 1, bool)
     starts[np.concatenate([[0], np.cumsum(sizes)])] = True
-    rules, rounds, lengths = np.empty((0, 2), np.int64), [], np.empty(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
-        code = (s[:-1] << 32) | s[1:]
-        inside = ~starts[1 : len(s)]
-        ordered = np.sort(code[inside])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= LEAST_USES)
-        if len(often) > BATCH:
-            often = often[np.argsort(-count[often], kind="stable")[:BATCH]]
-        pairs = np.sort(ordered[edge[often]])
-        if not len(pairs):
-            break
-        sieve = np.zeros(1 << 20, bool)
-        spread = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        sieve[spread(pairs)] = True
-        at = np.flatnonzero(sieve[spread(code)] & inside)
-        which = np.searchsorted(pairs, code[at])
-        hit = pairs[np.minimum(which, len(pairs) - 1)] == code[at]
-        at, which = at[hit], which[hit]
-        for _again in range(2):  # of overlapping pairs every second one; then without the pairs that are left too rare
-            fresh = np.concatenate([[True], np.diff(at) != 1])
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            odd = (np.arange(len(at)) - first) % 2 == 1
-            uses = np.bincount(which[~odd], minlength=len(pairs))
-            keep = uses >= LEAST_USES // 2
-            if _again:
-                at, which = at[~odd], which[~odd]
-            else:
-                at, which = at[keep[which]], which[keep[which]]
-        used, which = np.unique(which, return_inverse=True)
-        if len(at) < LEAST_GAIN * len(s):
-            break
+    rules, rounds, n_rules = [np.empty((0, 2), np.int64)], [], 0
+    lengths = np.empty(0, np.int64)
+    step, look = 0, None  # look: where pairs may have become frequent; None: everywhere
+    while len(s) > 1:
+        least = CLASSES[step] if step < len(CLASSES) else LEAST_USES
+        if look is None:
+            look = np.flatnonzero(~starts[1 : len(s)])
+        code = (s[look] << 32) | s[look + 1]
+        pairs, count = _frequent(code, least)
+        at = which = np.empty(0, np.int64)
+        if len(pairs):
+            sieve = np.zeros(1 << 20, bool)
+            spread = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            sieve[spread(pairs)] = True
+            maybe = np.flatnonzero(sieve[spread(code)])
+            which = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
+            hit = pairs[which] == code[maybe]
+            at, which = look[maybe[hit]], which[hit]
+            rank = np.empty(len(pairs), np.int64)
+            rank[np.lexsort((pairs, count))] = np.arange(len(pairs))
+            taken = _apart(at, rank[which])
+            uses = np.bincount(which[taken], minlength=len(pairs))
+            taken &= uses[which] >= LEAST_USES
+            if not taken.any():  # pairs stand in each other's way: the most frequent one alone
+                for one in np.argsort(-count, kind="stable").tolist():
+                    own = which == one
+                    alone = _apart(at[own], np.ones(own.sum()))
+                    if alone.sum() >= LEAST_USES:
+                        taken[np.flatnonzero(own)[alone]] = True
+                        break
+            at, which = at[taken], which[taken]
+        step += 1
+        if not len(at):
+            if step > len(CLASSES) and len(look) == (~starts[1 : len(s)]).sum():
+                break
+            look = None  # the pairs beside new symbols are done: look everywhere, in the end once more
+            continue
+        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        number = np.empty(len(pairs), np.int64)
+        number[used] = np.arange(len(used))
         new = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
-        whole = np.concatenate([np.ones(1, np.int64), lengths])
-        lengths = np.concatenate([lengths, whole[np.maximum(new - FIRST_RULE + 1, 0)].sum(1)])
-        s[at] = FIRST_RULE + len(rules) + which
-        rules = np.concatenate([rules, new])
-        rounds.append(len(rules))
+        lengths = np.concatenate([lengths, _lengths_of(new, lengths).sum(1)])
+        s[at] = FIRST_RULE + n_rules + number[which]
+        rules.append(new)
+        n_rules += len(new)
+        rounds.append(n_rules)
         stay = np.ones(len(s) + 1, bool)
         stay[at + 1] = False
+        at -= np.arange(len(at))  # where the new symbols lie when their second places are gone
         s, starts = s[stay[:-1]], starts[stay]
+        look = None
+        if step > len(CLASSES):
+            near = np.zeros(len(s) + 1, bool)
+            near[at] = near[np.maximum(at - 1, 0)] = True
+            near[:-1] &= ~starts[1 : len(s) + 1]
+            look = np.flatnonzero(near[: len(s) - 1])
     # documents without ids share a start: count symbols by the ids they expand to
     expanded = np.concatenate([[0], np.cumsum(_lengths_of(s, lengths))])
     bounds = np.searchsorted(expanded, np.concatenate([[0], np.cumsum(sizes)]))
-    return {"rules": rules.astype("<u4"), "rounds": np.array(rounds, "<u4"), "lengths": lengths.astype("<u4"), "symbols": s.astype("<u4"), "doc_symbols": np.diff(bounds).astype("<u4")}
+    return {"rules": np.concatenate(rules).astype("<u4"), "rounds": np.array(rounds, "<u4"), "lengths": lengths.astype("<u4"), "symbols": s.astype("<u4"), "doc_symbols": np.diff(bounds).astype("<u4")}
 
 
 def _lengths_of(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,6 +153,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray) -> np.nda
     return s.astype("<u4")
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of a whole block: each rule is expanded once, round by round, and then each symbol is looked up."""
+    rules, sizes = rules.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), "<u4")
+
+    def of(s):
+        known = s >= FIRST_RULE
+        rule = np.where(known, s - FIRST_RULE, 0)
+        size = np.where(known, sizes[rule], 1) if len(sizes) else np.ones(len(s), np.int64)
+        at = ragged(np.where(known, begins[rule], 0) if len(sizes) else np.zeros(len(s), np.int64), size)
+        out = flat[at] if len(flat) else np.empty(len(at), "<u4")
+        place = np.cumsum(size) - size
+        out[place[~known]] = s[~known]
+        return out
+
+    for low, high in zip([0, *rounds[:-1].tolist()], rounds.tolist(), strict=True) if len(rounds) else ():
+        flat[begins[low] : begins[high - 1] + sizes[high - 1]] = of(rules[low:high].reshape(-1))
+    return of(symbols.astype(np.int64))
+
+
 class Block:
     """A row of the block table."""
 
@@ -138,17 +206,18 @@ def _write(path: str, end: int):
             ids, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             doc_ids = [d for h in held for d in h[0]]
             c = compress(ids, sizes)
-            row = {"shard": shard, "start": start, "n_tokens": len(ids), "doc_ids": doc_ids, "doc_tokens": sizes.astype("<u4").tobytes(), **{k: v.tobytes() for k, v in c.items()}}
+            known = [d for d in doc_ids if d is not None]
+            row = {"shard": shard, "start": start, "n_tokens": len(ids), "first_id": known[0] if known else None, "last_id": known[-1] if known else None, "doc_ids": doc_ids, "doc_tokens": sizes.astype("<u4").tobytes(), **{k: v.tobytes() for k, v in c.items()}}
             start, held, n = start + len(ids), [], 0
-            kinds = {"shard": pa.int32(), "start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64())}
+            kinds = {"shard": pa.int32(), "start": pa.int64(), "n_tokens": pa.int64(), "first_id": pa.int64(), "last_id": pa.int64(), "doc_ids": pa.list_(pa.int64())}
             names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([row[k]], kinds.get(k, pa.binary())) for k in names], names)
 
         tok = encoder(path)
         for batch in batches:
-            texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in groups_of(texts):
-                ids, sizes = tok.encode(texts[a:b], end)
+            (raw, at), docs = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            for a, b in slices(at, GROUP_BYTES):
+                ids, sizes = tok.encode_bytes(raw[at[a] : at[b]], at[a : b + 1] - at[a], end)
                 held.append((docs[a:b], ids, sizes))
                 n += len(ids)
                 if n >= BLOCK_IDS:
@@ -179,7 +248,7 @@ def _read(batches):
     for batch in batches:
         for row in batch.to_pylist():
             b = Block(row)
-            ids = expand(b.symbols, b.rules, b.rounds)
+            ids = expand_all(b.symbols, b.rules, b.rounds, b.lengths)
             size = b.doc_tokens.astype(np.int64)
             begin = np.cumsum(size) - size
             raw = ids.astype("<u4", copy=False).tobytes()
@@ -201,6 +270,23 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(begins, "shard").select("doc_id", (F.col("start") + F.col("_begin")).alias("start"), "n_tokens", "ids")
 
 
+def fetch(spark: SparkSession, folder: str, doc_id: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """ids (binary) start to stop of the documents with this id, a row for each. Only blocks whose range of ids holds it
+    are read, and of those only the symbols of the stretch are expanded."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                found = [block.ids(k, start, stop).tobytes() for k, d in enumerate(row["doc_ids"]) if d == doc_id]
+                yield pa.record_batch({"ids": pa.array(found, pa.binary())})
+
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    return blocks.mapInArrow(run, "ids binary")
+
+
 def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, from the files read back."""
     folder = write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark) + ".blocks", vocabulary("word_bpe_49k.json"))

@@ -44,6 +44,38 @@ def test_repair(spark, tmp_path):
     assert R.read_ids(spark, R.write_ids(docs(spark, rows).limit(0), str(tmp_path / "e"), R.vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_repair_fetch(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from simgrove.llm import repair as R
+
+    path = R.vocabulary("word_bpe_49k.json")
+    rows = [*texts(40, 6), (7, "a second text with this id"), (None, "no id"), (99, "copy of one text " * 2000)]
+    folder = R.write_ids(docs(spark, rows), str(tmp_path / "f"), path, shards=3)
+    tok = Tokenizer.from_file(path)
+    want = {d: sorted(tok.encode(t, add_special_tokens=False).ids + [2] for k, t in rows if k == d) for d in (7, 12, 99, 500)}
+    for d, (a, b) in ((7, (0, None)), (12, (3, 9)), (99, (4000, 4010)), (500, (0, None))):
+        got = sorted(np.frombuffer(r.ids, "<u4").tolist() for r in R.fetch(spark, folder, d, a, b).collect())
+        assert got == sorted(x[a:b] for x in want[d])
+
+
+def test_repair_ends_when_no_pair_repays_its_rule():
+    from simgrove.llm import repair as R
+
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 900, 300)
+    for ids in (np.tile(text, 60), np.full(5000, 7), rng.integers(0, 40, 30_000), np.concatenate([np.tile([1, 2, 3], 500), rng.integers(0, 5, 999)])):
+        c = R.compress(ids.astype(np.uint32), np.array([len(ids)]))
+        s = c["symbols"].astype(np.int64)
+        uses = {}
+        for i in range(len(s) - 1):  # the occurrences of each pair that don't overlap
+            last, n = uses.get((s[i], s[i + 1]), (-2, 0))
+            if i > last + 1:
+                uses[s[i], s[i + 1]] = (i, n + 1)
+        assert max(n for _, n in uses.values()) < R.LEAST_USES if uses else True
+        assert (R.expand_all(c["symbols"], c["rules"], c["rounds"], c["lengths"]) == ids).all() and (R.expand(c["symbols"], c["rules"], c["rounds"]) == ids).all()
+
+
 def test_repair_random_access():
     from simgrove.llm import repair as R
 
@@ -68,7 +100,20 @@ def test_pieces_are_whole_texts():
         ids, sizes = e.encode(odd)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for k, t in enumerate(odd):
-            assert ids[at[k] : at[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+            assert ids[at[k] : at[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_operators_that_share_a_worker_keep_their_encoders_apart(spark):
+    from simgrove.llm import chat as C
+    from simgrove.llm import packing as P
+
+    path = P.vocabulary("byte_bpe_50k.json")
+    one = spark.createDataFrame([(1, 0, "user", "x<|endoftext|>y")], "conv_id long, turn long, role string, text string").coalesce(1)
+    want = [87, 50256, 88, 0]
+    for _ in range(3):
+        assert C.read_back(C.chat_format(one, path), path).first().formatted_chars == len("### user: x<|endoftext|>y </turn>\n")
+        rows = P.pack(docs(spark, [(i, "x<|endoftext|>y") for i in range(8)]), path).collect()
+        assert all(np.frombuffer(r.ids, "<u4").tolist() == want for r in rows)
 
 
 def test_url_rules(spark):
