@@ -100,6 +100,12 @@ def put_file(folder: str, name: str, data: bytes) -> str:
     return f"{folder.rstrip('/')}/{full.rsplit('/', 1)[1]}"
 
 
+def open_file(path: str):
+    """A file of the shared folder as a stream."""
+    fs, local = _fs(path)
+    return fs.open_input_stream(local)
+
+
 def map_array(path: str, dtype) -> np.ndarray:
     """A file of numbers as a memory map; where the shared folder can't be mapped, its bytes are fetched."""
     fs, local = _fs(path)

@@ -221,6 +221,31 @@ def test_warc(spark):
     assert W.read_archives(spark, W.write_archives(W.records(df.limit(0)), shared_dir(spark))).count() == 0
 
 
+def test_warc_of_many_records(spark):
+    from simgrove.llm import warc as W
+    from simgrove.llm.common import shared_dir
+
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(3_000_000))
+    rows = [(i, f"http://h/{i} \t", f"page {i % 1500} " + "x" * (i % 90)) for i in range(4000)] + [(9000, "u", long), (9001, "u", long), (9002, "u", "é\r\n\r\nWARC/1.1")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash")).withColumn("best", F.lit(1)).coalesce(1)
+    manifest = W.write_archives(W.resolve(W.records(df)), shared_dir(spark) + ".warc", "2020-02-02T00:00:00Z")
+    assert manifest.agg(F.max("records")).first()[0] == len(rows)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in W.read_archives(spark, manifest).drop("payload").collect()}
+    import base64
+    import hashlib
+
+    last = {html: i for i, _, html in rows}
+    for i, _, html in rows:
+        kind = ("response", None) if last[html] == i else ("revisit", last[html])
+        assert got[i] == (*kind, base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+    with pytest.raises(ValueError):
+        import gzip
+        import io
+
+        list(W.members(io.BytesIO(gzip.compress(long.encode())[:-20])))
+
+
 def test_kneser_ney(spark):
     from simgrove.llm import kneser_ney as K
 
