@@ -82,12 +82,18 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         pairs, count = _frequent(code, least)
         at = which = np.empty(0, np.int64)
         if len(pairs):
-            sieve = np.zeros(1 << 20, bool)
+            # a table by 20 bits of a code's hash names its pair; pairs that lost their place in it are searched for
             spread = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-            sieve[spread(pairs)] = True
-            maybe = np.flatnonzero(sieve[spread(code)])
-            which = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
-            hit = pairs[which] == code[maybe]
+            place, table = spread(pairs), np.full(1 << 20, -1, np.int32)
+            table[place] = np.arange(len(pairs))
+            named = table[spread(code)]
+            maybe = np.flatnonzero(named >= 0)
+            which, own = named[maybe].astype(np.int64), code[maybe]
+            hit = pairs[which] == own
+            if (table[place] != np.arange(len(pairs))).any():
+                lost = np.flatnonzero(~hit)
+                k = np.minimum(np.searchsorted(pairs, own[lost]), len(pairs) - 1)
+                which[lost], hit[lost] = k, pairs[k] == own[lost]
             at, which = look[maybe[hit]], which[hit]
             rank = np.empty(len(pairs), np.int64)
             rank[np.lexsort((pairs, count))] = np.arange(len(pairs))

@@ -163,12 +163,14 @@ class PieceEncoder:
     def word(self, piece: str) -> list[int]:
         """The ids of a piece that _WORD matches, by the model alone."""
         piece = piece.lower() if self.lowers else piece
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+        letters = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def learn(self, pieces: list[bytes], hashes: np.ndarray) -> None:
         """Find and keep the ids of new pieces."""
         texts = [p.decode("utf-8", "surrogatepass") for p in pieces]
-        ids: list = [self.word(p) if self.direct and _WORD.fullmatch(p) else None for p in texts]
+        plain = (lambda p: p.isalpha() and p.isascii() or _WORD.fullmatch(p)) if self.direct else lambda p: False
+        ids: list = [self.word(p) if plain(p) else None for p in texts]
         rest = [k for k, x in enumerate(ids) if x is None]
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             ids[k] = e.ids
