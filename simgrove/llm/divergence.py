@@ -1,11 +1,12 @@
 """Operator 3 [native]: reject documents whose histograms lie far from those of their language.
 
 Two histograms of each text, over character classes and over common words of its language, are held against the
-geometric means of all documents in that language by the Jensen-Shannon distance (base 2, the square root: 0 to 1). Texts under
-a minimum length carry too little evidence for the distance and are left to the base rules.
+geometric means of all documents in that language by the Jensen-Shannon distance (base 2, the square root: 0 to 1). Texts
+under a minimum length carry too little evidence for the distance and are left to the base rules.
 
-Only DataFrame functions run here. All is computed within a row, so that neither a hot source nor a long text makes a
-group; the references are one mean for each bin and language, summed on the map side first.
+Only DataFrame functions run here. Each text is counted once, within its row, so that neither a hot source nor a long
+text makes a group; the figures are a table in the shared folder, from which both the references (one mean for each bin
+and language, summed on the map side first) and the verdicts are read.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import text_of
+from simgrove.llm.common import stored, text_of
 
 #: Frequent words of the languages.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "with", "on", "as", "was", "by"],
-    "fr": ["le", "la", "de", "des", "les", "et", "en", "un", "une", "du", "que", "qui", "pour", "dans"],
-    "de": ["der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "des", "nicht", "ein", "eine", "im"],
-    "es": ["el", "la", "de", "que", "y", "en", "los", "se", "un", "las", "con", "por", "del", "su"],
+    "en": "the of and to in a is that for with on as was by it be are this at from or an not he".split(),
+    "fr": "le la de des les et en un une du que qui pour dans est au par sur pas ce il ne se plus".split(),
+    "de": "der die und das den von zu mit ist des nicht ein eine im in sich auf für dem als auch es an er".split(),
+    "es": "el la de que y en los se un las con por del su no una para es al lo como más pero sus".split(),
 }
 #: The language of rows that name none of these.
 OTHER = "en"
@@ -31,10 +32,9 @@ CLASSES = [("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("stop", r"[.,;:!?'\"()\-]+
 
 #: Words that the base rule asks for, and from which the distances count.
 MIN_WORDS, GUARD_WORDS = 50, 50
-#: Largest distances that pass.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.40
-#: The listed words are about a seventh of a language's words, so a text with none of them lies at only 0.26 to 0.27, and
-#: clean texts of 50 to 80 words reach 0.30. From so many words on clean texts stay under this share of that distance.
+#: Largest distance of character classes that passes.
+MAX_CHAR_DISTANCE = 0.22
+#: From so many words on a text's word distance passes only under this share of that of a text with no listed word.
 LIMIT_WORDS, LIMIT_SHARE = 150, 0.9
 #: From so many words on a text has at least one listed word of its language.
 NONE_WORDS = 80
@@ -46,10 +46,10 @@ KINDS = (("c", BINS), ("h", WORD_BINS))
 FLOOR = 0.001
 
 
-def _with_words(df: DataFrame, text: str) -> DataFrame:
-    """_t, _w (words), _lang."""
+def _with_words(df: DataFrame) -> DataFrame:
+    """_w (words) and _lang of _t (text, not null) and _lang_in."""
     lang = F.lower(F.coalesce(F.col("_lang_in"), F.lit("")))
-    return df.withColumn("_t", text_of(text)).withColumn("_w", F.filter(F.split("_t", SPACE), lambda x: x != "")).withColumn("_lang", F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(OTHER))
+    return df.withColumn("_w", F.filter(F.split("_t", SPACE), lambda x: x != "")).withColumn("_lang", F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(OTHER))
 
 
 def _among(words: list[str]):
@@ -118,18 +118,28 @@ def _lead() -> Column:
 def _own_words() -> Column:
     """Whether the text's words can be those of its language: see LIMIT_WORDS, NONE_WORDS and OTHER_LEAD."""
     none = _distance([F.lit(0.0)] * (WORD_BINS - 1) + [F.lit(1.0)], _cols("_hr", WORD_BINS))
-    far = (F.col("_n") >= LIMIT_WORDS) & (F.col("word_distance") > LIMIT_SHARE * none)
-    return ~(far | ((F.col("_n") >= NONE_WORDS) & (F.col("_hits_n") == 0)) | (_lead() >= OTHER_LEAD))
+    far = (F.col("_n") >= LIMIT_WORDS) & (F.col("_dh") > LIMIT_SHARE * none)
+    return ~(far | ((F.col("_n") >= NONE_WORDS) & (F.col("_hits_n") == 0)) | (F.col("_lead") >= OTHER_LEAD))
 
 
 def _cols(prefix: str, n: int) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(n)]
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Each language's geometric mean shares over all its documents of enough words, scaled to 1: a row for each of the
+_FIGURES = ["_lang", "_n", "_chars", "_symbols", "_dup_lines", "_repeat", "_hits_n", "_lead", *[f"_{k}{i}" for k, n in KINDS for i in range(n)]]
+
+
+def figures(df: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """A table of `row` (the kept columns, all if None) and _FIGURES of each row, computed once."""
+    own = df.columns if keep is None else keep
+    inside = F.struct(*own) if own else F.struct(F.lit(0).alias("_none"))
+    rows = df.select(inside.alias("row"), text_of(text).alias("_t"), F.col(lang).cast("string").alias("_lang_in"))
+    return stored(_base(_histograms(_with_words(rows))).withColumn("_lead", _lead()).select("row", *_FIGURES))
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """Each language's geometric mean shares over all figures of enough words, scaled to 1: a row for each of the
     languages above. A geometric mean hardly moves for the minority of texts that are junk; FLOOR keeps it off 0."""
-    rows = _histograms(_with_words(df.select(F.col(text).alias("_text_in"), F.col(lang).cast("string").alias("_lang_in")), "_text_in"))
     sure = F.col("_n") >= GUARD_WORDS
     logs = [F.avg(F.when(sure, F.log(F.col(f"_{k}{i}") + FLOOR))).alias(f"_{k}l{i}") for k, n in KINDS for i in range(n)]
     refs = rows.groupBy("_lang").agg(*logs)
@@ -139,32 +149,41 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     return refs.select("_lang", *[f"_{k}r{i}" for k, n in KINDS for i in range(n)])
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The frame, all its columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance (null under the guard) and kept.
+NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
+
+
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The frame, its columns (the kept ones, all if None), and n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, char_distance, word_distance (null under the guard) and kept.
 
     Null texts have no words; a null or unknown language counts as `en`; a language of short texts only has no
-    reference, and then no distance. Columns that clash with the new names are replaced.
+    reference, and then no distance. Repeated rows are judged each. No rows, no verdicts. A very long text is judged
+    whole, in its row. Columns of any name pass through, but those named as the new ones are replaced.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    own = [c for c in df.columns if c not in new]
-    rows = _base(_histograms(_with_words(df.withColumn("_text_in", F.col(text)).withColumn("_lang_in", F.col(lang).cast("string")), "_text_in")))
-    rows = rows.join(F.broadcast(references(df, text, lang)), "_lang", "left")  # a row for each language listed above
+    rows = _judged(figures(df, text, lang, keep))
+    own = [c for c in (df.columns if keep is None else keep) if c not in NEW]
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in own], *[F.col(f"_new.{n}").alias(n) for n in NEW])
+
+
+def kept(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that judge() keeps, their columns untouched."""
+    return _judged(figures(df, text, lang)).where("_new.kept").select("row.*")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """row and _new, the struct of NEW."""
+    rows = rows.join(F.broadcast(references(rows)), "_lang", "left")  # a row for each language listed above
     sure = (F.col("_n") >= GUARD_WORDS) & F.col("_cr0").isNotNull()
+    rows = rows.withColumn("_dc", F.when(sure, _distance(_cols("_c", BINS), _cols("_cr", BINS))))
+    rows = rows.withColumn("_dh", F.when(sure, _distance(_cols("_h", WORD_BINS), _cols("_hr", WORD_BINS))))
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeat") > 50 * F.col("_n"))
-    # not deterministic for the optimizer, so that a later filter isn't pushed down into the lambdas above
-    failed = failed & (F.monotonically_increasing_id() >= 0)
-    rows = rows.withColumn("char_distance", F.when(sure, _distance(_cols("_c", BINS), _cols("_cr", BINS))))
-    rows = rows.withColumn("word_distance", F.when(sure, _distance(_cols("_h", WORD_BINS), _cols("_hr", WORD_BINS))))
-    near = F.coalesce((F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE) & _own_words(), F.lit(True))
-    return rows.select(
-        *own, F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup_lines").alias("n_dup_lines"),
-        F.col("_repeat").alias("n_repeat_words"), failed.alias("base_failed"), "char_distance", "word_distance", (~failed & near).alias("kept"),
-    )
+    near = F.coalesce((F.col("_dc") <= MAX_CHAR_DISTANCE) & _own_words(), F.lit(True))
+    new = [F.col("_n"), F.col("_chars"), F.col("_symbols"), F.col("_dup_lines"), F.col("_repeat"), failed, F.col("_dc"), F.col("_dh"), ~failed & near]
+    return rows.select("row", F.struct(*[c.alias(n) for c, n in zip(new, NEW, strict=True)]).alias("_new"))
 
 
 def op3_language_divergence(spark, sf_dir: str) -> DataFrame:
     """Every document's base figures, distances and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    figures = judge(docs).drop("text", "lang")
-    return figures.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
+    found = judge(docs, keep=["doc_id"])
+    return found.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))

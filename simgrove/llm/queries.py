@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from simgrove.llm.chat import op5_chat_tokens
-from simgrove.llm.divergence import BINS, COMMON_WORDS, FLOOR, GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, WORD_BINS, op3_language_divergence
+from simgrove.llm.divergence import BINS, COMMON_WORDS, FLOOR, GUARD_WORDS, LIMIT_SHARE, LIMIT_WORDS, MAX_CHAR_DISTANCE, MIN_WORDS, NONE_WORDS, OTHER_LEAD, WORD_BINS, op3_language_divergence
 from simgrove.llm.jaccard_join import op9_bayesian_jaccard
 from simgrove.llm.kneser_ney import op7_kneser_ney
 from simgrove.llm.packing import op4_best_fit_decreasing
@@ -93,31 +93,36 @@ def _op3() -> str:
     cols = [(f"c{i}", x) for i, x in enumerate(shares)] + [(f"h{i}", x) for i, x in enumerate(words)]
     geo = ", ".join(f"exp(avg(ln({k} + {FLOOR})) FILTER (n >= {GUARD_WORDS})) AS g{k}" for k, _ in cols)
 
-    def distance(kind, bins):
+    def distance(kind, bins, own=None):
         total = "(" + " + ".join(f"r.g{kind}{i}" for i in range(bins)) + ")"
         term = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ({m})) ELSE 0 END"
         parts = []
         for i in range(bins):
-            p, q = f"x.{kind}{i}", f"(r.g{kind}{i} / {total})"
+            p, q = f"x.{kind}{i}" if own is None else own[i], f"(r.g{kind}{i} / {total})"
             parts += [term(p, f"({p} + {q}) / 2"), term(q, f"({p} + {q}) / 2")]
         return f"CASE WHEN n >= {GUARD_WORDS} THEN sqrt(greatest(({' + '.join(parts)}) / 2, 0)) END"
 
+    none = distance("h", WORD_BINS, ["0.0"] * (WORD_BINS - 1) + ["1.0"])
+    known = sorted({x for v in COMMON_WORDS.values() for x in v})
+    among = lambda a, b: f"len(list_filter(listed, lambda x: list_contains({[x for x in a if x not in b]}, x)))"
+    lead = "CASE lang " + " ".join(f"WHEN '{o}' THEN greatest({', '.join(f'{among(v, mine)} - {among(mine, v)}' for k, v in COMMON_WORDS.items() if k != o)})" for o, mine in COMMON_WORDS.items()) + " END"
     return rf"""
     WITH a AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lower(lang) IN ('en', 'fr', 'de', 'es') THEN lower(lang) ELSE 'en' END AS lang FROM documents),
     b AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS bare FROM a),
     e AS (SELECT *, len(w) AS n, length(bare) AS chars, ({lists})[lang] AS list FROM b),
-    f AS (SELECT *, {hits} AS hits FROM e),
-    x AS (SELECT doc_id, lang, n, chars, t, w, {', '.join(f'{v} AS {k}' for k, v in cols)} FROM f),
+    f AS (SELECT *, {hits} AS hits, list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({known}, x)) AS listed FROM e),
+    x AS (SELECT doc_id, lang, n, chars, t, w, len(hits) AS n_hits, {lead} AS lead, {', '.join(f'{v} AS {k}' for k, v in cols)} FROM f),
     r AS (SELECT lang, {geo} FROM x GROUP BY lang),
     tri AS (SELECT doc_id, unnest(range(1, n - 1)) AS i, w FROM x WHERE n >= 3),
     rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS k FROM tri) WHERE k > 1),
     cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM rep) GROUP BY doc_id),
-    y AS (SELECT x.*, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, {distance('c', BINS)} AS dc, {distance('h', WORD_BINS)} AS dh
+    y AS (SELECT x.*, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, {distance('c', BINS)} AS dc, {distance('h', WORD_BINS)} AS dh, {none} AS d0
       FROM x LEFT JOIN cov USING (doc_id) LEFT JOIN r USING (lang))
     SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, (n < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n) AS base_failed,
       round(dc, 6) AS char_distance, round(dh, 6) AS word_distance,
-      NOT (n < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n) AND coalesce(dc <= {MAX_CHAR_DISTANCE} AND dh <= {MAX_WORD_DISTANCE}, true) AS kept FROM y"""
+      NOT (n < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n) AND coalesce(dc <= {MAX_CHAR_DISTANCE}
+      AND NOT ((n >= {LIMIT_WORDS} AND dh > {LIMIT_SHARE} * d0) OR (n >= {NONE_WORDS} AND n_hits = 0) OR lead >= {OTHER_LEAD}), true) AS kept FROM y"""
 
 
 def oracle_sql() -> dict[str, str]:

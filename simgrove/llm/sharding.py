@@ -1,8 +1,9 @@
 """Operator 10: shards from a hierarchical tree of weighted hash draws.
 
-A row descends region, rack and shard. At each node every child draws -ln(u) / weight with u hashed from the row's
-key and the child's name alone, and the least draw wins, so a child wins in proportion to its weight. A node's weight
-is the sum of its leaves. Changing weights inside one subtree changes the draws of the nodes on the path to it and of
+A row descends region, rack and shard. At each node it reaches every child draws -ln(u) / weight with u hashed from the
+row's key and the child's name alone, and the least draw wins, so a child wins in proportion to its weight. A node's
+weight is the sum of its leaves. The tree is a literal table of each node's children, so a descent draws for the
+children of three nodes, whatever the number of leaves. Changing weights inside one subtree changes the draws of the nodes on the path to it and of
 no other node, so rows move only into or out of that subtree (law `key`: key and topology decide, nothing else).
 
 Growing by one shard adds it as a region of its own: at the top level one more child draws, all other draws stay, and
@@ -13,10 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import small, stored, text_of
+from simgrove.llm.common import stored, text_of
 
 
 @dataclass(frozen=True)
@@ -43,17 +44,22 @@ def topology(shards: int) -> list[Leaf]:
     return leaves
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    """An exponential draw with the weight as its rate; the 53 upper hash bits make u in (0, 1)."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / F.lit(float(weight))
+def _draw(key: Column, child: Column) -> Column:
+    """An exponential draw with the child's weight as its rate; the 53 upper hash bits make u in (0, 1)."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, child["name"]), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(u) / child["weight"]
 
 
-def _least(draws: list[tuple[Column, Column]]) -> Column:
-    """What belongs to the least draw."""
-    if len(draws) == 1:
-        return draws[0][1]
-    return F.least(*[F.struct(d.alias("d"), v.alias("v")) for d, v in draws])["v"]
+def _children(leaves: list[Leaf]) -> dict[str, list[tuple[str, float]]]:
+    """Each inner node's children and their weights; a node's name is its path, the root's is empty."""
+    weights: dict[str, dict[str, float]] = {}
+    for x in leaves:
+        if x.weight > 0:
+            path = ["", x.region, f"{x.region}/{x.rack}", f"{x.region}/{x.rack}/{x.shard}"]
+            for up, down in zip(path, path[1:], strict=False):
+                own = weights.setdefault(up, {})
+                own[down] = own.get(down, 0.0) + x.weight
+    return {up: sorted(own.items()) for up, own in weights.items()}
 
 
 def shard_of(key: Column, leaves: list[Leaf]) -> Column:
@@ -61,45 +67,38 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
     if not leaves or any(x.weight < 0 for x in leaves) or not any(x.weight > 0 for x in leaves):
         raise ValueError("a tree needs leaves, weights of 0 or more and one above 0")
     key = F.coalesce(key.cast("string"), F.lit("\x00null"))
-    tree: dict[str, dict[str, list[Leaf]]] = {}
-    for x in leaves:
-        if x.weight > 0:
-            tree.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
-    total = lambda xs: sum(x.weight for x in xs)
-    regions = []
-    for region, racks in tree.items():
-        inner = []
-        for rack, own in racks.items():
-            shard = _least([(_draw(key, f"{region}/{rack}/{x.shard}", x.weight), F.lit(x.shard)) for x in own])
-            inner.append((_draw(key, f"{region}/{rack}", total(own)), shard))
-        regions.append((_draw(key, region, sum(map(total, racks.values()))), _least(inner)))
-    return _least(regions)
-
-
-#: Stretches of a shard that are numbered apart, so that no task sorts a whole shard.
-STRETCHES = 64
+    child = lambda name, weight: F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"))
+    table = _children(leaves)
+    tree = F.create_map(*[x for up, own in table.items() for x in (F.lit(up), F.array(*[child(*c) for c in own]))])
+    # a lambda's variable holds the node, so that the levels below don't spell the descent out again
+    least = lambda node: F.array_min(F.transform(F.element_at(tree, node), lambda c: F.struct(_draw(key, c).alias("d"), c["name"].alias("name"))))["name"]
+    at = F.array(F.lit(""))
+    for _ in range(3):
+        at = F.transform(at, least)
+    return F.element_at(F.split(at[0], "/"), -1).cast("int")
 
 
 def place(df: DataFrame, leaves: list[Leaf], key: str = "doc_id") -> DataFrame:
-    """The frame's rows with `shard` and `slot`, the row's place in its shard, gapless from 0.
+    """The frame's rows with `shard` and `slot`, the row's place in its shard, gapless from 0; columns of these names are
+    replaced, others of any name pass through.
 
-    Slots number stretches of a shard, dealt by a salt of key and row; the counts of the stretches (shards x
-    STRETCHES rows) give where each begins. Repeated rows get slots of their own.
+    Slots number stretches of a shard, dealt by a salt of the row; as many stretches as give each shuffle partition four,
+    so that no task sorts a whole shard. The counts of the stretches, a row each, give where each begins. Equal keys tie
+    in any order, repeated rows get slots of their own, a null key is a key too; no rows, no slots. A very long value
+    stays in its row.
     """
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(STRETCHES)).cast("int")
-    rows = stored(df.withColumn("shard", shard_of(F.col(key), leaves)).withColumn("_stretch", salt))
-    counts = rows.groupBy("shard", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("shard").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("shard", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy("shard", "_stretch").orderBy(F.col(key))
-    numbered = rows.withColumn("_row", F.row_number().over(inside))
-    return (
-        numbered.join(small(begins), ["shard", "_stretch"])
-        .withColumn("slot", (F.col("_begin") + F.col("_row") - 1).cast("long"))
-        .drop("_stretch", "_begin", "_row")
-    )
+    stretches = max(1, -(-4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(leaves)))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(stretches)).cast("int")
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    rows = stored(df.select(F.struct(*own).alias("row"), F.col(key).alias("key"), shard_of(F.col(key), leaves).alias("shard"), salt.alias("stretch")))
+    counts = stored(rows.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("shard", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("shard", "stretch").orderBy("key")
+    numbered = rows.withColumn("number", F.row_number().over(inside))
+    # a row for each stretch: four for each shuffle partition, or one for each shard
+    placed = numbered.join(F.broadcast(begins), ["shard", "stretch"])
+    return placed.select("row.*", "shard", (F.col("begin") + F.col("number") - 1).cast("long").alias("slot"))
 
 
 def op10_weighted_hash_tree(spark, sf_dir: str) -> DataFrame:

@@ -119,12 +119,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     return found.select("_key", "_th", "n_hit").join(named.select(F.col("_key").alias("_k"), F.col("_th").alias("_h"), "_ids"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h"))).select("_key", "_th", "n_hit", "_ids")
 
 
+def _with_found(docs: DataFrame, benchmark: DataFrame, text: str, key: str) -> DataFrame:
+    """`row`, a struct of the frame's columns, n_hit and _ids, both null without hits."""
+    found = hits(docs, benchmark, text, key)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_own"), F.xxhash64(text_of(text)).alias("_own_th"))
+    return rows.join(found, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_own_th") == F.col("_th")), "left")
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The frame, its columns untouched, and _n_hit (0 without hits) and _ids (null without). Nulls, empty texts and
-    empty tables have no hits; a null key is a key like others; repeated rows all get their hits."""
-    found = hits(docs, benchmark, text, key).select(F.col("_key").alias("_fk"), F.col("_th").alias("_fh"), F.col("n_hit").alias("_n_hit"), F.col("_ids").alias("_found_ids"))
-    out = docs.withColumn("_th", F.xxhash64(text_of(text))).join(found, F.col(key).eqNullSafe(F.col("_fk")) & (F.col("_th") == F.col("_fh")), "left")
-    return out.drop("_fk", "_fh", "_th").withColumnRenamed("_found_ids", "_ids").withColumn("_n_hit", F.coalesce("_n_hit", F.lit(0).cast("long")))
+    """The frame, its columns, and n_hit (0 without hits) and item_ids (empty without); columns that are named so are
+    replaced, others of any name pass through. Nulls, empty texts and empty tables have no hits; a null key is a key
+    like others; repeated rows all get their hits. A very long text is searched whole, in its row."""
+    rows = _with_found(docs, benchmark, text, key)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_hit", "item_ids")]
+    return rows.select(*own, F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows without hits, their columns untouched."""
+    return _with_found(docs, benchmark, text, key).where("n_hit is null").select("row.*")
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:

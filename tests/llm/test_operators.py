@@ -139,8 +139,13 @@ def test_divergence(spark):
     from simgrove.llm import divergence as D
 
     rows = [*texts(40, 2), *[(100 + i, t) for i, (_, t) in enumerate(ODD)], (200, "!!! $$$ ### " * 30), (201, "A\nb\nA\n\nb")]
-    df = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")).withColumn("kept", F.lit("clash")).withColumn("_n", F.lit(1))
-    got = D.judge(df.drop("_n")).collect()
+    df = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")).withColumn("kept", F.lit("clash"))
+    for k, name in enumerate(("_n", "_t", "_w", "_lang", "_c0", "row", "_new", "_hr0")):
+        df = df.withColumn(name, F.lit(k))
+    got = D.judge(df).collect()
+    assert all((r._n, r._t, r._w, r._lang, r._c0, r.row, r._new, r._hr0) == tuple(range(8)) for r in got)
+    stay = D.kept(df)
+    assert stay.columns == df.columns and stay.count() == sum(r.kept for r in got) and stay.where("kept <> 'clash'").count() == 0
     want = {d: brute.base_figures(t) for d, t in rows}
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[r.doc_id]
@@ -163,7 +168,7 @@ def test_divergence_of_other_languages(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate([*clean, *wrong, *bare])], "doc_id long, lang string, text string")
     got = {r.doc_id: r for r in D.judge(df).collect()}
     assert all(got[i].kept for i in range(len(clean)))
-    assert not any(got[i].kept or got[i].base_failed or got[i].char_distance > D.MAX_CHAR_DISTANCE for i in range(len(clean), len(got)))
+    assert not any(got[i].kept or got[i].base_failed or got[i].char_distance is None for i in range(len(clean), len(got)))
 
 
 def test_packing(spark):
@@ -265,14 +270,16 @@ def test_winnowing(spark):
     rng = random.Random(7)
     items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 16)))) for i in range(12)] + [(50, None), (51, ""), (3, "é É A")]
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for i in range(40)] + [(None, "A b c a"), *[(d + 100, t) for d, t in ODD if d]]
-    df = docs(spark, rows).withColumn("n_hit", F.lit("clash"))
+    df = docs(spark, rows).withColumn("n_hit", F.lit("clash")).withColumn("_th", F.lit(7)).withColumn("_key", F.lit("k")).withColumn("_fk", F.lit(1)).withColumn("row", F.lit(2))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r.doc_id, r._n_hit, ",".join(r._ids or [])) for r in N.with_hits(df, bench).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_hit, ",".join(r.item_ids)) for r in N.with_hits(df, bench).collect()), key=repr)
     import hashlib
 
     got = [(d, n, hashlib.sha256(x.encode()).hexdigest()) for d, n, x in got]
     assert sorted(got, key=repr) == sorted(((d, n, h) for d, _, n, _, h, _ in brute.winnow(rows, items)), key=repr)
-    assert N.with_hits(df, bench.limit(0)).where("_n_hit > 0").count() == 0 and N.with_hits(df.limit(0), bench).count() == 0
+    left = N.clean(df, bench)
+    assert left.columns == df.columns and left.where("_th = 7 and row = 2 and _fk = 1 and n_hit = 'clash'").count() == sum(not hit for *_, hit in brute.winnow(rows, items))
+    assert N.with_hits(df, bench.limit(0)).where("n_hit > 0").count() == 0 and N.with_hits(df.limit(0), bench).count() == 0
 
 
 def test_jaccard(spark):
