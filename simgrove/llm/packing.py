@@ -4,8 +4,9 @@ Documents are cut into full windows and a rest; rests, longest first, go to the
 still takes them. A segment tree over the remaining capacities (0 to WINDOW) counts the open windows of each capacity,
 so the tightest one is found in log2(WINDOW) steps, whatever the number of windows.
 
-Each task packs its own partition in bins of bounded size: no shuffle, and with thousands of documents in a partition
-the padding is that of its last few windows. A sequence's number holds the task's.
+Each task packs its own partition in bins of bounded size, without a shuffle. Windows that a bin leaves with room for
+more than SLACK ids are taken apart again and their pieces packed together, across tasks, so that the padding doesn't
+grow with the number of partitions. A sequence's number holds the task's.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, slices, text_bytes, text_of
+from simgrove.llm.common import bounded_batches, slices, stored, text_bytes, text_of
 from simgrove.llm.tokens import GROUP_BYTES, encoder, vocabulary
 
 WINDOW, END = 1024, 0
 #: Ids that a task holds before it packs and emits them.
 HELD_IDS = 8_000_000
+#: Room that a window may keep after its bin.
+SLACK = 16
+#: Sequences of the second packing count from here on.
+SECOND = 1 << 60
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Capacities:
@@ -93,12 +99,13 @@ def _packed(path: str, end: int):
             length = np.minimum(WINDOW, total[doc] - start)
             at = np.repeat(np.cumsum(total) - total, pieces) + start
             where, offset, windows = best_fit_decreasing(length)
+            loose = WINDOW - np.bincount(where, length, windows) > SLACK
             raw = ids.astype("<u4", copy=False).tobytes()
             for s in range(0, len(doc), 2000):
                 e = slice(s, s + 2000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([docs[x] for x in doc[e]], pa.int64()), pa.array(start[e]), pa.array(length[e]), pa.array(total[doc[e]]), pa.array(sequence + where[e]), pa.array(offset[e]), pa.array([raw[4 * x : 4 * (x + m)] for x, m in zip(at[e].tolist(), length[e].tolist(), strict=True)], pa.binary())],
-                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                    [pa.array([docs[x] for x in doc[e]], pa.int64()), pa.array(start[e]), pa.array(length[e]), pa.array(total[doc[e]]), pa.array(sequence + where[e]), pa.array(offset[e]), pa.array([raw[4 * x : 4 * (x + m)] for x, m in zip(at[e].tolist(), length[e].tolist(), strict=True)], pa.binary()), pa.array(loose[where[e]])],
+                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "loose"],
                 )
             held, n, sequence = [], 0, sequence + windows
 
@@ -116,13 +123,43 @@ def _packed(path: str, end: int):
     return run
 
 
+def _again(batches):
+    """Pieces of loose windows, packed once more."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    sequence, held, n = SECOND + (TaskContext.get().partitionId() << 36), [], 0
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def pack():
+        table = pa.Table.from_batches(held)
+        where, offset, windows = best_fit_decreasing(table.column("length").to_numpy())
+        table = table.set_column(names.index("sequence_id"), "sequence_id", pa.array(sequence + where)).set_column(names.index("offset"), "offset", pa.array(offset))
+        return table.to_batches(2000), windows
+
+    for batch in batches:
+        held.append(batch.select(names))
+        n += pa.compute.sum(batch.column("length")).as_py() or 0
+        if n >= HELD_IDS:
+            out, windows = pack()
+            yield from out
+            sequence, held, n = sequence + windows, [], 0
+    if held:
+        yield from pack()[0]
+
+
 def pack(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (binary, little-endian 32 bits) of every piece.
+    """PIECES rows: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian 32 bits) of every piece.
 
-    Null texts are the end id alone; null and repeated doc_ids are packed row by row; no rows, no pieces."""
+    Null texts are the end id alone; null and repeated doc_ids are packed row by row; equal lengths keep their order; no
+    rows, no pieces. A very long text's ids are held whole by its task. Other columns aren't read, whatever their names."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(_packed(path, end), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    first = stored(rows.mapInArrow(_packed(path, end), PIECES + ", loose boolean"))
+    rest = first.where("loose").drop("loose")
+    tasks = -(-(rest.agg(F.sum("length")).first()[0] or 0) // HELD_IDS) or 1
+    again = rest.repartition(tasks, "doc_id", "start").sortWithinPartitions("doc_id", "start").mapInArrow(_again, PIECES)
+    return first.where("not loose").drop("loose").unionByName(again)
 
 
 def op4_best_fit_decreasing(spark, sf_dir: str) -> DataFrame:
