@@ -40,7 +40,7 @@ def _op5() -> str:
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-      sum(15 + {esc.format('role')} + {esc.format('text')})::BIGINT AS formatted_chars
+      sum(15 + {esc.format('role')} + (length(role) - length(replace(role, ': ', ''))) // 2 + {esc.format('text')})::BIGINT AS formatted_chars
     FROM t GROUP BY conv_id"""
 
 

@@ -121,3 +121,77 @@ def kneser_ney(docs):
         base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
         out[d] = (held[d], len(w), sum(x in uni for x in w), n, base, sum(math.log10(p(h, x)) for h, x in zip([0, *w[:-1]], w, strict=True)))
     return out
+
+
+def url_parts(url):
+    """Host and path."""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+
+
+def url_tokens(url):
+    host, path = url_parts(url)
+    url = url or ""
+    scheme = re.match("([A-Za-z]*)://", url)
+    query = re.search(r"(?s)\?([^#]*)", url)
+    out = {"s:" + (scheme[1] if scheme else "")} | {"h:" + x for x in host.split(".") if x} | {"p:" + x for x in re.sub("[0-9]+", "0", path).split("/") if x}
+    return out | {"q:" + x.split("=")[0] for x in (query[1] if query else "").split("&") if x.split("=")[0]}
+
+
+def url_verdicts(pages, labels, rules, min_support, min_confidence, default):
+    """page_id -> (host, path, rule, verdict), by all subsets of the labelled pages' tokens."""
+    from itertools import combinations
+
+    bad = {}
+    for doc, quality, toxic in labels:
+        bad[doc] = bad.get(doc, False) or toxic == 1 or quality == 0
+    tx = [(frozenset(url_tokens(u)), "block" if bad[p] else "allow") for p, u in pages if p in bad]
+    pages_of = {}
+    for i, (items, _) in enumerate(tx):
+        for t in items:
+            pages_of.setdefault(t, set()).add(i)
+    stands = {}
+    for t in sorted(t for t, own in pages_of.items() if len(own) >= min_support * len(tx)):
+        stands[t] = min(x for x, own in pages_of.items() if own == pages_of[t])
+    counts = {}
+    for items, verdict in tx:
+        reps = sorted({stands[t] for t in items if t in stands})
+        for k in range(1, len(reps) + 1):
+            for c in combinations(reps, k):
+                own = counts.setdefault(c, {"allow": 0, "block": 0})
+                own[verdict] += 1
+    share = {v: sum(x == v for _, x in tx) / max(len(tx), 1) for v in ("allow", "block")}
+    found = []
+    for c, own in counts.items():
+        n = sum(own.values())
+        for v in own:
+            if own[v] >= min_support * len(tx) and own[v] / n >= min_confidence and own[v] / n > share[v] * (1 + 1e-12):
+                found.append((own[v] / n, own[v] / len(tx), v, set(c)))
+    out = {}
+    for p, url in pages:
+        host, path = url_parts(url)
+        fits = [(len(h + q), h + q, v) for v, h, q in rules if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        reps = {stands[t] for t in url_tokens(url) if t in stands}
+        best = max(((a, b, v) for a, b, v, c in found if c <= reps), default=None)
+        top = [x[2] for x in ((a, b, v) for a, b, v, c in found if c <= reps) if best and x[:2] == best[:2]]
+        out[p] = (host, path, max(fits)[1] if fits else None, {max(fits)[2]} if fits else set(top) or {default})
+    return out
+
+
+def shard_of(key, leaves):
+    """The descent, draw by draw; the hash is XXH64 of the key and then of the child's name, from seed 42."""
+    import math
+
+    import xxhash
+
+    key = "\x00null" if key is None else str(key)
+    node = ""
+    for level in range(3):
+        weights = {}
+        for x in leaves:
+            path = ["", x.region, f"{x.region}/{x.rack}", f"{x.region}/{x.rack}/{x.shard}"]
+            if path[level] == node:
+                weights[path[level + 1]] = weights.get(path[level + 1], 0) + x.weight
+        draw = lambda name: -math.log(((xxhash.xxh64(name.encode(), seed=xxhash.xxh64(key.encode(), seed=42).intdigest()).intdigest() >> 11) + 0.5) / 2**53) / weights[name]  # noqa: B023, E731
+        node = min(weights, key=draw)
+    return int(node.rsplit("/", 1)[1])

@@ -130,11 +130,21 @@ def test_url_rules(spark):
     assert U.judge(spark, pages.limit(0), labels).count() == 0
     # every rule agrees with a count over the labelled rows
     tx = [(sorted({"a", f"b{i % 3}"}), "block" if i % 3 == 0 else "allow") for i in range(60)]
-    for r in U.mine(spark.createDataFrame(tx, "items array<string>, verdict string"), 0.05, 0.6).collect():
+    for r in U.mine(spark.createDataFrame(tx, "items array<string>, verdict string"), 0.05, 0.6)[0].collect():
         fit = [v for items, v in tx if set(r.antecedent) <= set(items)]
         assert math.isclose(r.confidence, fit.count(r.verdict) / len(fit)) and r.lift > 1
 
 
+def test_url_rules_of_tokens_that_always_meet(spark):
+    from simgrove.llm import url_rules as U
+
+    tx = [([f"t{k:02}" for k in range(40)] + [f"n{i}" for i in range(i % 9)], "block" if i % 2 else "allow") for i in range(90)] + [(["x"], "allow")] * 30
+    rules, stands = U.mine(spark.createDataFrame(tx, "items array<string>, verdict string"), 0.05, 0.5)
+    assert rules.count() < 600 and {r.token: r.stands for r in stands.collect()}["t39"] == "t00"
+    deep = [([f"p{k:02}" for k in range(i)], "block") for i in range(30)] + [(["x"], "allow")] * 30
+    assert 0 < U.mine(spark.createDataFrame(deep, "items array<string>, verdict string"), 0.01, 0.5)[0].count() < 1 << 13
+
+
 def test_divergence(spark):
     from simgrove.llm import divergence as D
 
@@ -212,6 +222,25 @@ def test_chat(spark):
     assert C.chat_format(df.limit(0), path).count() == 0
 
 
+def test_chat_of_one_long_conversation(spark, monkeypatch):
+    from simgrove.llm import chat as C
+
+    path, rng = C.vocabulary("byte_bpe_50k.json"), random.Random(8)
+    said = ["###", ": ", "</turn>", "\\", "word ", "\n", "é😀", ":", " "]
+    rows = [(1, i, rng.choice(["user", "assistant", "a: b", "a:", "#### "]), "".join(rng.choice(said) for _ in range(rng.randrange(60)))) for i in range(600)]
+    rows += [(k, i, "user", "hello") for k in (0, 2, 3) for i in range(3)] + [(5, 0, "assistant", "long text, " * 30_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit("clash")).withColumn("task", F.lit(3))
+    parts = sorted(C.chat_format(df, path).collect(), key=lambda r: (r.conv_id, r.part))
+    words = C._decoder(path)
+    for k in (0, 1, 2, 3, 5):
+        own = [r for r in parts if r.conv_id == k]
+        assert [r.part for r in own] == list(range(len(own))) and sum(r.turns for r in own) == sum(x[0] == k for x in rows)
+        assert [r.start for r in own] == [sum(len(x.loss_mask) for x in own[:i]) for i in range(len(own))]
+        text = b"".join(words[i] for r in own for i in np.frombuffer(r.ids, "<u4").tolist()).decode()
+        assert C.read_surface(text) == [(r, t) for c, _, r, t in rows if c == k]
+    assert len([r for r in parts if r.conv_id == 1]) > 1  # several tasks share it
+
+
 def test_warc(spark):
     from simgrove.llm import warc as W
     from simgrove.llm.common import shared_dir
