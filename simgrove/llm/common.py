@@ -219,13 +219,16 @@ class Kept(dict):
 
     def of(self, name: str, make):
         if name not in self:
-            if self:
-                self.clear()
-                if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed pages go back at once
-                    trim(0)
+            self.free()
             self[name] = make()
         return self[name]
 
+    def free(self) -> None:
+        if self:
+            self.clear()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed pages go back at once
+                trim(0)
+
 
 kept = Kept()
 

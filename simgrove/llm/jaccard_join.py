@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, distinct, hashed_words, mix64, slices, small, stored, text_bytes, with_few
+from simgrove.llm.common import bounded_batches, distinct, hashed_words, kept, mix64, slices, small, stored, text_bytes, with_few
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -34,7 +34,7 @@ LEAST_BLOCK, SPREAD, BLOCK, BLOCK_SHINGLES = 64, 32, 256, 1_000_000
 #: Groups of more classes are cut anew by their pruned ties, in blocks of so many classes.
 SURE, TIE_BLOCK = 4096, 1024
 #: Bytes of text that are hashed at a time.
-HELD = 8_000_000
+HELD = 4_000_000
 
 _seed = np.arange(1, 2 * HASHES + 1, dtype=np.uint64)
 _MUL = (mix64(_seed[:HASHES] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -178,6 +178,7 @@ def links(a_sets, b_sets, a_sig, b_sig, upper: bool) -> tuple[np.ndarray, np.nda
 def _signed(batches):
     import pyarrow as pa
 
+    kept.free()
     for batch in batches:
         raw, at = text_bytes(batch.column("text"))
         for first, last in slices(at, HELD):
@@ -199,6 +200,7 @@ def _hashed(batches):
     import pyarrow as pa
 
     keep = ("node", "copies", "comp", "block", "blocks")
+    kept.free()
     for batch in batches:
         raw, at = text_bytes(batch.column("text"))
         for first, last in slices(at, HELD):

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, distinct, hashed_words, map_array, mix64, put_file, shared_dir, slices, stored, text_bytes, text_of
+from simgrove.llm.common import bounded_batches, distinct, hashed_words, kept, map_array, mix64, put_file, shared_dir, slices, stored, text_bytes, text_of
 
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -69,6 +69,7 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
 
 def _stretches(batches):
     """Bounded stretches of texts: their tokens and the texts' lengths, with the rows' first column."""
+    kept.free()
     held, n = [], 0
     for batch in batches:
         raw, at = text_bytes(batch.column("text"))
