@@ -30,11 +30,11 @@ def resolve(ids: list[str] | None) -> list[str]:
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two token lists, a column of the table at a time as bits of one number."""
-    if len(a) < len(b):
+    if len(a) > len(b):  # the longer list as bits: fewer and longer steps
         a, b = b, a
     n = len(b)
-    if not n:
-        return len(a)
+    if not len(a):
+        return n
     at: dict = {}
     for i, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << i
@@ -66,6 +66,210 @@ def alignment_score(a: list, b: list) -> int:
     return int(row[-1])
 
 
+#: Documents of the left side and of the right side that meet in a task, and cells that are worked on at a time.
+LEFT_BLOCK, RIGHT_BLOCK, CELLS = 32, 8192, 1 << 17
+#: Tokens beyond which a list's edit distance is found alone.
+LONG = 1536
+
+
+def aligned(a: list, rows: list, kind: str):
+    """The Levenshtein distances or Needleman-Wunsch scores (kind) of one token list (numbers) against many, at once.
+
+    Lists of like lengths stand side by side, a column each, and the tables' diagonals are made for all of them by
+    whole-array steps, of which none depends on its own result. Three diagonals are kept."""
+    import numpy as np
+
+    gap, hit, miss = (1, 0, 1) if kind == "levenshtein" else (-1, 1, -1)
+    better = np.minimum if kind == "levenshtein" else np.maximum
+    sizes, n = np.array([len(x) for x in rows], np.int64), len(a)
+    out = np.empty(len(rows), np.int64)
+    order = np.argsort(sizes, kind="stable")
+    first = len(order)
+    while first:
+        longest = int(sizes[order[first - 1]])
+        # columns as a diagonal's cells allow, of lists that are not much shorter
+        like = int(np.searchsorted(sizes[order], longest * 3 // 4 - 16))
+        last, first = first, max(0, min(first - max(1, CELLS // (longest + 1)), max(like, first - CELLS // (min(n, longest) + 1))))
+        own = order[first:last]
+        long = sizes[own]
+        width = np.int16 if max(longest, n) < 16_000 else np.int32
+        y = np.full((longest, len(own)), -1, np.int32)
+        for k, r in enumerate(own.tolist()):
+            y[: sizes[r], k] = rows[r]
+        back = np.array(a[::-1], np.int32)[:, None]
+        before, row, fresh = (np.empty((longest + 1, len(own)), width) for _ in range(3))
+        same, step = np.empty((longest, len(own)), bool), np.empty((longest, len(own)), width)
+        row[0] = 0
+        if not n:
+            out[own] = long * gap
+            continue
+        for k in range(1, n + longest + 1):
+            low, high = max(1, k - n), min(longest, k - 1)
+            if low <= high:
+                size = high - low + 1
+                e, s, f = same[:size], step[:size], fresh[low : high + 1]
+                np.equal(y[low - 1 : high], back[n - k + low : n - k + high + 1], out=e)
+                np.multiply(e.view(np.int8), np.int8(hit - miss), out=s)
+                s += before[low - 1 : high]
+                s += width(miss - gap)
+                better(row[low : high + 1], row[low - 1 : high], out=f)
+                better(f, s, out=f)
+                f += width(gap)
+            if k <= n:
+                fresh[0] = k * gap
+            if k <= longest:
+                fresh[k] = k * gap
+            if k >= n:
+                i, j = np.searchsorted(long, [k - n, k - n + 1])
+                out[own[i:j]] = fresh[k - n, i:j]
+            before, row, fresh = row, fresh, before
+    return out
+
+
+def edit_distances(lefts: list, rows: list):
+    """The Levenshtein distances of token lists (numbers) against many: an array for each of lefts. Lists of more than
+    LONG tokens are compared one by one, see edit_distance().
+
+    A column of the table is kept as bits of its steps up and down, 64 of a list in a word and the words of all lists
+    side by side; a token's step takes a few array operations for each row of words, and a word hands what leaves its
+    top to the next."""
+    import numpy as np
+
+    one, top = np.uint64(1), np.uint64(63)
+    sizes = np.array([len(x) for x in rows], np.int64)
+    out = [np.empty(len(rows), np.int64) for _ in lefts]
+    order = np.argsort(sizes, kind="stable")
+    words = -(-sizes[order] // 64)
+    last = int(np.searchsorted(sizes[order], LONG, "right"))
+    for r in order[last:].tolist():
+        b = rows[r].tolist()
+        for a, result in zip(lefts, out, strict=True):
+            result[r] = edit_distance(b, a.tolist())
+    while last:
+        first = int(np.searchsorted(words, words[last - 1] * 3 // 4))
+        own = order[first:last]
+        last = first
+        deep, n = max(1, int(-(-sizes[own].max() // 64))), len(own)
+        every = np.concatenate([np.empty(0, np.int32), *[rows[r] for r in own.tolist()]])
+        column = np.repeat(np.arange(n), sizes[own])
+        at = np.arange(len(every)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        by = np.argsort(every, kind="stable")
+        tokens, place, bit = every[by], ((at >> 6) * n + column)[by], one << (at[by] & 63).astype(np.uint64)
+        inside = np.zeros(deep * n, np.uint64)
+        np.add.at(inside, place, bit)
+        inside = inside.reshape(deep, n)
+        eq = np.zeros(deep * n, np.uint64)
+        eqs = eq.reshape(deep, n)
+        for a, result in zip(lefts, out, strict=True):
+            up, down = np.full((deep, n), ~np.uint64(0)), np.zeros((deep, n), np.uint64)
+            lows, highs = np.searchsorted(tokens, a).tolist(), np.searchsorted(tokens, a, "right").tolist()
+            for low, high in zip(lows, highs, strict=True):
+                here = place[low:high]
+                np.bitwise_or.at(eq, here, bit[low:high]) if high - low > 1 else eq.__setitem__(here, bit[low:high])
+                rise_in, fall_in = one, np.uint64(0)  # the first row's step is one up
+                for w in range(deep):
+                    u, d, e = up[w], down[w], eqs[w]
+                    vertical = e | d
+                    e = e | fall_in
+                    across = e & u
+                    across += u
+                    across ^= u
+                    across |= e
+                    rise = across | u
+                    np.invert(rise, out=rise)
+                    rise |= d
+                    across &= u
+                    rise_out, fall_out = rise >> top, across >> top
+                    rise <<= one
+                    rise |= rise_in
+                    across <<= one
+                    across |= fall_in
+                    np.bitwise_or(vertical, rise, out=u)
+                    np.invert(u, out=u)
+                    u |= across
+                    np.bitwise_and(rise, vertical, out=d)
+                    rise_in, fall_in = rise_out, fall_out
+                eq[here] = 0
+            result[own] = len(a) + (np.bitwise_count(up & inside).astype(np.int64) - np.bitwise_count(down & inside)).sum(0)
+    return out
+
+
+def blocked(docs: DataFrame, left: DataFrame, column: str, function, schema: str) -> DataFrame:
+    """function(left table, right table) for each pair of blocks of the left ids (a frame with `id`) and all documents.
+
+    Blocks are dealt by the id's hash, so that a document's column moves once for each block of the other side, not once
+    for each pair."""
+    n = docs.agg(F.count(F.lit(1))).first()[0]
+    m = left.agg(F.count(F.lit(1))).first()[0]
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rights = max(1, -(-n // RIGHT_BLOCK))
+    lefts = max(1, -(-m // LEFT_BLOCK), min(m, -(-2 * slots // rights)))
+    tasks = min(lefts * rights, 64 * slots)  # named, as few bytes of a block hold much work
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = left.select("id").distinct()
+    a = docs.join(own, "id", "left_semi").select(F.col("id").alias("a"), F.col(column).alias("x"), deal(lefts).alias("al"), each(rights).alias("ar"))
+    b = docs.select(F.col("id").alias("b"), F.col(column).alias("y"), deal(rights).alias("br"), each(lefts).alias("bl"))
+    return a.repartition(tasks, "al", "ar").groupBy("al", "ar").cogroup(b.repartition(tasks, "bl", "br").groupBy("bl", "br")).applyInArrow(function, schema)
+
+
+def _numbered(a, b) -> tuple[list, list]:
+    """The token lists of two tables as lists of numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    columns = [t.combine_chunks() if isinstance(t, pa.ChunkedArray) else t for t in (a.column("x"), b.column("y"))]
+    numbers = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode().indices.to_numpy().astype(np.int32)
+    out = []
+    for c in columns:
+        ends = np.cumsum(c.value_lengths().fill_null(0).to_numpy())
+        total = int(ends[-1]) if len(ends) else 0
+        out.append(np.split(numbers[:total], ends[:-1]) if len(ends) else [])
+        numbers = numbers[total:]
+    return tuple(out)
+
+
+def alignment_matrix(docs: DataFrame, left: DataFrame, kind: str) -> DataFrame:
+    """(a, b, normalized_score, raw_value, degenerate) of the left ids (a frame with `id`) against all (id, tokens)."""
+
+    def run(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = _numbered(a, b)
+        scores = edit_distances(x, y) if kind == "levenshtein" else [aligned(t.tolist(), y, kind) for t in x]
+        na, nb = np.array([len(t) for t in x], np.int64), np.array([len(t) for t in y], np.int64)
+        return pa.table({"a": a.column("a").take(pa.array(np.repeat(np.arange(len(x)), len(y)))), "b": b.column("b").take(pa.array(np.tile(np.arange(len(y)), len(x)))), "raw": np.concatenate([np.empty(0, np.int64), *scores]), "longer": np.maximum(na[:, None], nb[None]).reshape(-1)})
+
+    kind_of = dict(docs.dtypes)["id"]
+    found = blocked(docs, left, "tokens", run, f"a {kind_of}, b {kind_of}, raw long, longer long")
+    score = 1 - F.col("raw") / F.greatest("longer", F.lit(1)) if kind == "levenshtein" else (F.col("raw") + F.col("longer")) / F.greatest(2 * F.col("longer"), F.lit(1))
+    return _result(found, F.when(F.col("longer") == 0, 1.0).otherwise(score), F.col("raw")).drop("raw", "longer")
+
+
+def vector_matrix(vectors: DataFrame, left: DataFrame, kind: str) -> DataFrame:
+    """The same of (id, vec) with unit vectors: `embedding-local` or `embedding-api`, by products of blocks. Cosines are
+    off by rounding alone; a distance is the root of the squared differences' sum, summed directly where it is small."""
+
+    def run(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        u, v = (np.array(x.to_pylist(), float) for x in (a.column("x"), b.column("y")))
+        raw = u @ v.T if len(u) and len(v) else np.empty((len(u), len(v)))
+        if kind == "embedding-api":
+            near = np.argwhere(raw > 1 - 1e-4)  # where 2 - 2 cos loses its digits
+            raw = np.sqrt(np.maximum(2 - 2 * raw, 0))
+            for i, j in near.tolist():
+                raw[i, j] = np.sqrt(((u[i] - v[j]) ** 2).sum())
+        return pa.table({"a": a.column("a").take(pa.array(np.repeat(np.arange(len(u)), len(v)))), "b": b.column("b").take(pa.array(np.tile(np.arange(len(v)), len(u)))), "raw": raw.reshape(-1)})
+
+    kind_of = dict(vectors.dtypes)["id"]
+    found = blocked(vectors, left, "vec", run, f"a {kind_of}, b {kind_of}, raw double")
+    raw = F.col("raw")
+    return _result(found, V.clamp01(raw if kind == "embedding-local" else 1 - raw / F.sqrt(F.lit(2.0))), raw).drop("raw")
+
+
 def _paired(function) -> Column:
     from pyspark.sql.functions import pandas_udf
 

@@ -48,6 +48,10 @@ def _pairs(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
     return left.crossJoin(df.select(F.col("id").alias("b"), F.col(column).alias(b)))
 
 
+def _matrix(operator, df: DataFrame, kind: str) -> DataFrame:
+    return operator(df, df.where(F.col("id") % QUERY_STEP == 0), kind)
+
+
 def _scores(df: DataFrame) -> DataFrame:
     return df.select("a", "b", F.round("normalized_score", 6).alias("normalized_score"), F.round("raw_value", 6).alias("raw_value"))
 
@@ -92,12 +96,12 @@ def tfidf_vector_norms(spark, d):
 
 @_query()
 def levenshtein_matrix(spark, d):
-    return _scores(S.levenshtein(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b")))
+    return _scores(_matrix(S.alignment_matrix, _docs(spark, d), "levenshtein"))
 
 
 @_query()
 def needleman_wunsch_matrix(spark, d):
-    return _scores(S.needleman_wunsch(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b")))
+    return _scores(_matrix(S.alignment_matrix, _docs(spark, d), "needleman-wunsch"))
 
 
 @_query(_TOK + """, s AS (SELECT id, list_distinct(tokens) AS t FROM tok), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM s x, s y WHERE x.id % 50 = 0)
@@ -118,12 +122,12 @@ def tfidf_cosine_matrix(spark, d):
 
 @_query(_VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.vec, y.vec) AS c FROM v x, v y WHERE x.id % 50 = 0) SELECT a, b, round(greatest(0, least(1, c)), 6) AS normalized_score, round(c, 6) AS raw_value FROM p")
 def embedding_local_matrix(spark, d):
-    return _scores(S.embedding_local(_pairs(_vectors(spark, d), "vec", "u", "v")))
+    return _scores(_matrix(S.vector_matrix, _vectors(spark, d), "embedding-local"))
 
 
 @_query(_VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_distance(x.vec, y.vec) AS c FROM v x, v y WHERE x.id % 50 = 0) SELECT a, b, round(greatest(0, least(1, 1 - c / sqrt(2))), 6) AS normalized_score, round(c, 6) AS raw_value FROM p")
 def embedding_api_matrix(spark, d):
-    return _scores(S.embedding_api(_pairs(_vectors(spark, d), "vec", "u", "v")))
+    return _scores(_matrix(S.vector_matrix, _vectors(spark, d), "embedding-api"))
 
 
 @_query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in S.ALGORITHMS) + ") t(id, display_name, kind)")
