@@ -77,10 +77,15 @@ or but nor so yet because although while if unless this that these those its the
 """.split()
 
 
+def trimmed(text: Column) -> Column:
+    """Without the control characters and blanks at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def quality_reasons(text: Column, least: int = 500) -> Column:
     """Why an abstract looks cut off: too-short, no-terminal-punctuation, dangling-connector; none if it looks whole."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = trimmed(text)
     # both patterns end with the text and hold no blank: its end is all they need to see
-    last = F.lower(F.regexp_extract(F.substring_index(t, " ", -1), r"(\p{L}+)\p{Punct}*$", 1))
-    checks = [(F.length(t) < least, "too-short"), (~F.right(t, F.lit(3)).rlike("[.!?][\"'”’)]?$"), "no-terminal-punctuation"), (last.isin(CONNECTORS), "dangling-connector")]
+    last = F.lower(F.regexp_extract(F.element_at(F.split(t, r"\s"), -1), r"(\p{L}+)\p{Punct}*$", 1))
+    checks = [(F.length(t) < least, "too-short"), ((t != "") & ~F.right(t, F.lit(3)).rlike("[.!?][\"'”’)]?$"), "no-terminal-punctuation"), (last.isin(CONNECTORS), "dangling-connector")]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))

@@ -15,6 +15,7 @@ from simgrove.operators import clustering as C
 from simgrove.operators import corpus as Q
 from simgrove.operators import similarity as S
 from simgrove.operators import traces as X
+from simgrove.plans import clustering_sql, porter_sql
 
 QUERY_STEP = 50
 QUERIES: dict = {}
@@ -74,7 +75,8 @@ def token_counts(spark, d):
     return _docs(spark, d).select("id", F.size("tokens").cast("long").alias("n"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
 
 
-@_query()
+@_query(_TOK + """, placed AS (SELECT id, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM tok), words AS (SELECT DISTINCT word FROM placed), """ + porter_sql.stems("words") + """
+ SELECT id, coalesce(tokens, '') AS tokens FROM (SELECT id FROM tok) LEFT JOIN (SELECT id, string_agg(stem, ' ' ORDER BY pos) AS tokens FROM placed JOIN stems USING (word) GROUP BY id) USING (id)""")
 def preprocess_stemmed(spark, d):
     return T.stemmed(_docs(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
@@ -187,26 +189,33 @@ def _by_label(spark, d):
     return _vectors(spark, d).select("label", F.col("id").alias("obs"), "vec")
 
 
-@_query()
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_METRICS = ("cophenetic", "silhouette", "davies_bouldin")
+
+
+@_query(clustering_sql.LINKAGE)
 def linkage_by_label(spark, d):
-    return C.cluster(_by_label(spark, d), "label")
+    return _rounded(C.cluster(_by_label(spark, d), "label"), "merge_distance")
 
 
-@_query()
+@_query(clustering_sql.EVALUATION)
 def evaluation_by_label(spark, d):
-    e = C.evaluate(_by_label(spark, d), "label")
+    e = _rounded(C.evaluate(_by_label(spark, d), "label"), *_METRICS)
     return e.withColumn("leaf_order", F.array_join("leaf_order", " ")).withColumn("labels", F.array_join("labels", " "))
 
 
-@_query()
+@_query(clustering_sql.RANKING)
 def clustering_ranking(spark, d):
-    return C.rank(C.evaluate(_by_label(spark, d), "label", ks=(3,)), "label")
+    return _rounded(C.rank(C.evaluate(_by_label(spark, d), "label", ks=(3,)), "label"), *_METRICS)
 
 
 @_query(_VEC + """, m AS (SELECT label, i, avg(vec[i]) AS m FROM v, range(1, 65) t(i) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
  s AS (SELECT label, c, avg(list_distance(vec, c)) AS s FROM v JOIN c USING (label) GROUP BY ALL),
- r AS (SELECT x.label, max((x.s + y.s) / list_distance(x.c, y.c)) AS r FROM s x JOIN s y ON x.label <> y.label GROUP BY 1)
- SELECT count(*) AS k, round(avg(r), 6) AS davies_bouldin FROM r""")
+ r AS (SELECT x.label, min(list_distance(x.c, y.c)) AS least, max((x.s + y.s) / nullif(list_distance(x.c, y.c), 0)) AS r FROM s x JOIN s y ON x.label <> y.label GROUP BY 1)
+ SELECT count(*) AS k, CASE WHEN min(least) > 0 THEN round(avg(r), 6) END AS davies_bouldin FROM r""")
 def davies_bouldin(spark, d):
     v = _vectors(spark, d)
     n = 64
@@ -214,8 +223,9 @@ def davies_bouldin(spark, d):
     s = v.join(F.broadcast(mids), "label").groupBy("label").agg(F.avg(V.distance(F.col("vec"), F.col("c"))).alias("s")).join(mids, "label")
     o = s.select(F.col("label").alias("l"), F.col("c").alias("oc"), F.col("s").alias("os"))
     apart = V.distance(F.col("c"), F.col("oc"))
-    r = s.join(o, F.col("label") != F.col("l")).groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.nullif(apart, F.lit(0.0))).alias("r"))
-    return r.agg(F.count(F.lit(1)).alias("k"), F.round(F.avg("r"), 6).alias("davies_bouldin"))
+    r = s.join(o, F.col("label") != F.col("l")).groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.nullif(apart, F.lit(0.0))).alias("r"), F.min(apart).alias("least"))
+    # centroids that coincide leave the index undefined
+    return r.agg(F.count(F.lit(1)).alias("k"), F.when(F.min("least") > 0, F.round(F.avg("r"), 6)).alias("davies_bouldin"))
 
 
 @_query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha256 FROM documents")
@@ -256,8 +266,8 @@ def clean_text(spark, d):
     return _table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("cleaned"))
 
 
-@_query("""SELECT doc_id AS id, concat_ws(';', CASE WHEN length(trim(text)) < 500 THEN 'too-short' END, CASE WHEN NOT regexp_matches(trim(text), '(?s)^.*[.!?]["''”’)]?$') THEN 'no-terminal-punctuation' END,
- CASE WHEN list_contains([""" + ", ".join(f"'{x}'" for x in T.CONNECTORS) + r"""], lower(regexp_extract(trim(text), '(\p{L}+)[[:punct:]]*$', 1))) THEN 'dangling-connector' END) AS reasons FROM documents""")
+@_query("""SELECT doc_id AS id, concat_ws(';', CASE WHEN length(t) < 500 THEN 'too-short' END, CASE WHEN t <> '' AND NOT regexp_matches(t, '(?s)^.*[.!?]["''”’)]?$') THEN 'no-terminal-punctuation' END,
+ CASE WHEN list_contains([""" + ", ".join(f"'{x}'" for x in T.CONNECTORS) + r"""], lower(regexp_extract(t, '(\p{L}+)[[:punct:]]*$', 1))) THEN 'dangling-connector' END) AS reasons FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM documents)""")
 def abstract_quality(spark, d):
     return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.quality_reasons(F.col("text")), ";").alias("reasons"))
 
