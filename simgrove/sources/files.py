@@ -21,8 +21,32 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.drop("documents"), docs.withColumnsRenamed({"extractedBy": "extracted_by", "manuallyValidated": "manually_validated", "abstractSha256": "abstract_sha256"})
 
 
-def write_corpus(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").json(path)
+_OUT = {"extracted_by": "extractedBy", "manually_validated": "manuallyValidated", "abstract_sha256": "abstractSha256"}
+
+
+def write_corpus(docs: DataFrame, path: str, version: str = "1") -> None:
+    """One document that read_corpus() reads: the header and all documents (in corpus_order, else by id), replacing what
+    was there. A corpus of this format is one JSON value, put together by one task."""
+    from simgrove.operators.corpus import corpus_sha256
+
+    order = "corpus_order" if "corpus_order" in docs.columns else "id"
+    own = docs.withColumnsRenamed(_OUT)
+    row = F.struct(*[F.col(x.split()[0]) for x in DOCUMENT.split(", ")])
+    whole = own.agg(F.count(F.lit(1)).cast("int").alias("sourceCount"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), row.alias("_d")))), lambda x: x["_d"]).alias("documents"))
+    whole.crossJoin(corpus_sha256(docs)).select(F.lit(version).alias("version"), "sourceCount", F.col("corpus_sha256").alias("corpusSha256"), "documents").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_embeddings(vectors: DataFrame, path: str, corpus_version: str, corpus_sha256: str, model: str, version: str = "1") -> None:
+    """A cache that read_embeddings() reads, of (id, pre_norm_l2, vec)."""
+    rows = vectors.agg(F.array_sort(F.collect_list(F.struct("id", F.col("pre_norm_l2").alias("preNormL2"), F.col("vec").alias("values")))).alias("vectors"), F.max(F.size("vec")).alias("dimension"))
+    head = {"version": version, "corpusVersion": corpus_version, "corpusSha256": corpus_sha256, "model": model}
+    rows.select(*[F.lit(v).alias(k) for k, v in head.items()], "dimension", "vectors").coalesce(1).write.mode("overwrite").json(path)
+
+
+def norm_warnings(vectors: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(id, norm) of raw vectors (id, values) whose length isn't 1."""
+    norm = V.norm(F.col("values"))
+    return vectors.select("id", norm.alias("norm")).where(F.abs(F.col("norm") - 1) > tolerance)
 
 
 def read_embeddings(spark: SparkSession, path: str, corpus_sha256: str | None = None) -> DataFrame:
@@ -42,7 +66,10 @@ def read_benchmark_csv(spark: SparkSession, path: str) -> tuple[dict[str, str],
     head = spark.read.text(path).where(F.col("value").startswith("# harness."))
     pairs = head.select(F.regexp_extract("value", r"# harness\.([^=:]+)[=:]\s*(.*)", 1), F.regexp_extract("value", r"# harness\.([^=:]+)[=:]\s*(.*)", 2))
     schema = "benchmark string, family string, parameter string, size double, score double, error double, unit string"
-    return {a.strip(): b for a, b in pairs.collect()}, spark.read.schema(schema).option("comment", "#").option("header", True).option("mode", "FAILFAST").csv(path)
+    rows = spark.read.schema(schema).option("comment", "#").option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.raise_error(F.concat(F.lit(f"{c} is no number for "), "benchmark")).cast("double")).otherwise(F.col(c)).alias(c)
+    numbers = ("size", "score", "error")
+    return {a.strip(): b for a, b in pairs.collect()}, rows.select(*[finite(c) if c in numbers else c for c in rows.columns])
 
 
 def read_jmh(spark: SparkSession, path: str) -> DataFrame:
@@ -63,10 +90,7 @@ def tei_header(xml) -> dict:
 
 
 def pdf_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, path) of a folder's PDF files by name; decoding them is a plug-in's work."""
-    from simgrove.functions.text import padded_id
+    """(id, path) of a folder's PDF files by name; decoding them is an extractor's work."""
+    from simgrove.operators.ingest import listing
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(folder).select("path").collect()
-    names = sorted(r[0] for r in files)
-    rows = spark.createDataFrame([(i + 1, len(names), p) for i, p in enumerate(names)], "n int, total int, path string")
-    return rows.select(padded_id(F.col("n"), F.col("total")).alias("id"), "path")
+    return listing(spark, folder).select("id", "path")
