@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simgrove.errors import ProblemError
-from simgrove.functions.text import tokens
+from simgrove.functions.text import tokens, trimmed
 
 
 def text_sha256(text: Column) -> Column:
@@ -14,9 +14,24 @@ def text_sha256(text: Column) -> Column:
 
 
 def corpus_sha256(docs: DataFrame) -> DataFrame:
-    """corpus_sha256 of (id, abstract_sha256): the hash of the `id:sha` lines in id order; one digest needs one string."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", F.col("id"), F.col("abstract_sha256"))))
-    return docs.agg(F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise("")), 256).alias("corpus_sha256"))
+    """corpus_sha256 of (id, abstract_sha256): the hash of the `id:sha` lines in id order, a row even of no documents.
+
+    One digest is made by one task; it reads the sorted lines as a stream, so that they never lie in memory at once."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        digest = hashlib.sha256()
+        for batch in batches:
+            digest.update("".join(f"{x}\n" for x in batch.column("line").to_pylist()).encode())
+        yield pa.record_batch({"corpus_sha256": [digest.hexdigest()]})
+
+    lines = docs.select(F.concat_ws(":", F.col("id"), F.col("abstract_sha256")).alias("line"))
+    if not lines.limit(1).count():
+        return docs.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("corpus_sha256"))
+    return lines.orderBy("line").coalesce(1).mapInArrow(run, "corpus_sha256 string")
 
 
 def validate(docs: DataFrame, ids: list[str] | None = None) -> DataFrame:
@@ -35,7 +50,7 @@ def verify(docs: DataFrame, source_count: int | None = None, expected: int | Non
     """All violations in one pass: rule, document_id (null for the corpus's own), message.
 
     docs: id, title, authors, abstract, manually_validated, abstract_sha256."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    blank = lambda c: trimmed(F.col(c)) == ""
     many = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
     df = docs.withColumn("_ids", many("id")).withColumn("_shas", many("abstract_sha256"))
     rules = [

@@ -13,6 +13,7 @@ from simgrove.functions import text as T
 from simgrove.functions import vectors as V
 from simgrove.operators import clustering as C
 from simgrove.operators import corpus as Q
+from simgrove.operators import ingest as I
 from simgrove.operators import similarity as S
 from simgrove.operators import traces as X
 from simgrove.plans import clustering_sql, porter_sql
@@ -243,12 +244,28 @@ def duplicate_texts(spark, d):
     return _table(spark, d, "documents").groupBy(Q.text_sha256(F.col("text")).alias("sha256")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@_query(_TOK + """, s AS (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS k, trim(coalesce(text, '')) = '' AS blank FROM documents)
- SELECT 'NO_DUPLICATE_ABSTRACT_SHA256' AS rule, doc_id::VARCHAR AS document_id FROM s WHERE k > 1 UNION ALL SELECT 'NON_BLANK_ABSTRACT', doc_id::VARCHAR FROM s WHERE blank
- UNION ALL SELECT 'NON_EMPTY_PREPROCESSED_TOKENS', id::VARCHAR FROM tok JOIN s ON id = doc_id WHERE NOT blank AND len(tokens) = 0""")
+_BLANK = r"regexp_matches(coalesce({0}, ''), '^[\x00-\x20]*$')"
+_TITLE, _VALID = "CASE WHEN doc_id % 79 = 2 THEN ' ' ELSE source END", "doc_id % 89 <> 7"
+
+
+@_query(_TOK + f""", c AS (SELECT doc_id, CAST(CASE WHEN doc_id % 100 = 1 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS id, {_TITLE} AS title, doc_id % 97 <> 5 AS authored, {_VALID} AS valid, coalesce(text, '') AS text,
+  CASE WHEN doc_id % 83 = 3 THEN 'stale' ELSE sha256(coalesce(text, '')) END AS sha, sha256(coalesce(text, '')) AS fresh FROM documents),
+ s AS (SELECT c.*, count(*) OVER (PARTITION BY c.id) AS ids, count(*) OVER (PARTITION BY sha) AS shas, {_BLANK.format('title')} AS no_title, {_BLANK.format('text')} AS blank, len(tokens) AS n FROM c JOIN tok ON tok.id = doc_id),
+ w AS (SELECT count(*) AS n, sha256(string_agg(id || ':' || sha || chr(10), '' ORDER BY id || ':' || sha)) AS whole FROM c)
+ SELECT 'UNIQUE_DOCUMENT_ID' AS rule, id AS document_id FROM s WHERE ids > 1 UNION ALL SELECT 'NO_DUPLICATE_ABSTRACT_SHA256', id FROM s WHERE shas > 1 UNION ALL SELECT 'NON_BLANK_TITLE', id FROM s WHERE no_title
+ UNION ALL SELECT 'NON_EMPTY_AUTHORS', id FROM s WHERE NOT authored UNION ALL SELECT 'NON_BLANK_ABSTRACT', id FROM s WHERE blank UNION ALL SELECT 'MANUALLY_VALIDATED', id FROM s WHERE NOT valid
+ UNION ALL SELECT 'NON_EMPTY_PREPROCESSED_TOKENS', id FROM s WHERE NOT blank AND n = 0 UNION ALL SELECT 'ABSTRACT_SHA256_MATCHES_RECOMPUTED', id FROM s WHERE NOT blank AND sha <> fresh
+ UNION ALL SELECT 'MINIMUM_DOCUMENT_COUNT', NULL FROM w WHERE n < 3 UNION ALL SELECT 'DOCUMENT_COUNT_MATCHES_SOURCE_COUNT', NULL FROM w WHERE n <> 1000 UNION ALL SELECT 'DOCUMENT_COUNT_MATCHES_EXPECTED', NULL FROM w WHERE n <> 20
+ UNION ALL SELECT 'CORPUS_SHA256_MATCHES_RECOMPUTED', NULL FROM w WHERE whole <> 'stale'""")
 def verify_corpus(spark, d):
-    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.array("source").alias("authors"), F.col("text").alias("abstract"), F.lit(True).alias("manually_validated"), Q.text_sha256(F.col("text")).alias("abstract_sha256"))
-    return Q.verify(docs).select("rule", "document_id")
+    """All rules, over documents of which some are made to break them."""
+    own = F.col("doc_id")
+    fresh = Q.text_sha256(F.col("text"))
+    docs = _table(spark, d, "documents").select(
+        F.when(own % 100 == 1, own - 1).otherwise(own).cast("string").alias("id"), F.expr(_TITLE).alias("title"), F.when(own % 97 != 5, F.array("source")).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.col("text").alias("abstract"), F.expr(_VALID).alias("manually_validated"), F.when(own % 83 == 3, "stale").otherwise(fresh).alias("abstract_sha256"),
+    )
+    return Q.verify(docs, 1000, 20, "stale").select("rule", "document_id")
 
 
 @_query("SELECT doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'unexpected' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
@@ -278,10 +295,57 @@ def embedding_windows(spark, d):
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size(w).cast("long").alias("n_windows"), F.round(F.get(F.get(w, F.lit(1)), F.lit(0)).cast("double"), 6).alias("second_first"))
 
 
-@_query("SELECT label, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
+_CUT = "WITH w AS (SELECT vec_id AS id, unnest(range(4)) AS k, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT id, k, unnest(range(1, 17)) AS pos, e FROM w)"
+
+
+@_query(_CUT + " SELECT id, pos - 1 AS pos, round(avg(e[16 * k + pos]), 6) AS mean FROM x GROUP BY ALL")
 def window_mean_pool(spark, d):
-    v = _table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    return v.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Each embedding's four windows of 16, pooled."""
+    pooled = V.pool_windows(V.windows(F.col("embedding").cast("array<double>"), 16))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(pooled).alias("pos", "mean")).select("id", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@_query(_CUT + " SELECT id, pos - 1 AS pos, round(avg(e[16 * k + pos]), 6) AS mean FROM x WHERE k = 0 OR (id >> k) % 2 = 1 GROUP BY ALL")
+def token_mean_pool(spark, d):
+    """The same windows as tokens, under a mask of the id's bits."""
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when((k == 0) | (F.floor(F.col("vec_id") / F.pow(F.lit(2), k)) % 2 == 1), 1).otherwise(0))
+    pooled = V.pool_tokens(V.windows(F.col("embedding").cast("array<double>"), 16), mask)
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(pooled).alias("pos", "mean")).select("id", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@_query(_TF + """, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), s AS (SELECT tok.id, coalesce(norm, 0) AS norm FROM tok LEFT JOIN n USING (id)),
+ c AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y USING (term) WHERE x.id % 50 = 0 GROUP BY 1, 2),
+ p AS (SELECT x.id AS a, y.id AS b, x.norm AS norm_a, y.norm AS norm_b, coalesce(dot, 0) AS dot, CASE WHEN x.norm + y.norm = 0 THEN 1.0 WHEN x.norm = 0 OR y.norm = 0 THEN 0.0 ELSE coalesce(dot, 0) / (x.norm * y.norm) END AS cosine FROM s x CROSS JOIN s y LEFT JOIN c ON c.a = x.id AND c.b = y.id WHERE x.id % 50 = 0)
+ SELECT a, b, round(dot, 4) AS dot, round(norm_a, 4) AS norm_a, round(norm_b, 4) AS norm_b, round(cosine::DOUBLE, 6) AS cosine, round(degrees(acos(greatest(-1, least(1, cosine))))::DOUBLE, 4) AS angle, (SELECT count(*) FROM tok) AS corpus_size FROM p""")
+def tfidf_trace_totals(spark, d):
+    docs = _docs(spark, d)
+    t = X.tfidf_totals(docs, docs.where(F.col("id") % QUERY_STEP == 0).select("id"))
+    # the angle of two equal texts is the arc cosine of a sum that is off 1 by rounding: four digits of it are sure
+    return t.select("a", "b", *[F.round(c, 4).alias(c) for c in ("dot", "norm_a", "norm_b")], F.round("cosine", 6).alias("cosine"), F.round("angle", 4).alias("angle"), "corpus_size")
+
+
+_LINES = r"WITH l AS (SELECT doc_id AS id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS l FROM documents)"
+
+
+@_query(_LINES + r""" SELECT id, coalesce(trim(regexp_replace(l[1], '\s+', ' ', 'g')), '') AS title,
+ array_to_string(list_filter(list_transform(string_split_regex(coalesce(l[2], ''), ',|\band\b|&'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> ''), ';') AS authors FROM l""")
+def text_metadata(spark, d):
+    """Title and authors of every document, as an extracted text's."""
+    m = I.text_metadata(F.col("text"))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), m["title"].alias("title"), F.array_join(m["authors"], ";").alias("authors"))
+
+
+_REASONS = """t AS (SELECT doc_id AS id, lang, t, (length(t) < 500)::INT + (t <> '' AND NOT regexp_matches(t, '(?s)^.*[.!?]["''”’)]?$'))::INT + list_contains([""" + ", ".join(f"'{x}'" for x in T.CONNECTORS) + r"""], lower(regexp_extract(t, '(\p{L}+)[[:punct:]]*$', 1)))::INT AS reasons
+ FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM documents))"""
+
+
+@_query("WITH " + _REASONS + """, p AS (SELECT x.id, x.t AS a, y.t AS b, x.reasons AS ra, y.reasons AS rb FROM t x LEFT JOIN t y ON y.id = x.id + 1)
+ SELECT id, CASE WHEN a <> '' AND coalesce(b, '') <> '' THEN CASE WHEN ra = 0 THEN 'primary' WHEN rb = 0 THEN 'fallback' WHEN length(b) > length(a) THEN 'fallback' ELSE 'primary' END WHEN a <> '' THEN 'primary' WHEN coalesce(b, '') <> '' THEN 'fallback' END AS chosen FROM p""")
+def chosen_attempt(spark, d):
+    """Every document's text as a first attempt, the next one's as the second."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return docs.join(after, "doc_id", "left").select(F.col("doc_id").alias("id"), I.chosen_attempt(F.col("text"), F.col("other")).alias("chosen"))
 
 
 @_query("SELECT lang AS family, count(*) AS points, round(regr_slope(ln(len(text)), ln(n_chars)), 6) AS empirical_slope, 1.0::DOUBLE AS theoretical_exponent FROM documents WHERE len(text) > 0 AND n_chars > 0 GROUP BY lang HAVING count(DISTINCT n_chars) > 1")
