@@ -213,6 +213,12 @@ def slices(at: np.ndarray, size: int):
         first = last
 
 
+def trim() -> None:
+    """Give freed pages back at once: workers wait beside the next stage."""
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 class Kept(dict):
     """What operators keep in a worker process from task to task. Spark hands a worker on from stage to stage, so what
     one operator kept is freed before another fills its own."""
@@ -226,8 +232,7 @@ class Kept(dict):
     def free(self) -> None:
         if self:
             self.clear()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed pages go back at once
-                trim(0)
+            trim()
 
 
 kept = Kept()

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, slices, stored, text_bytes, text_of
+from simgrove.llm.common import bounded_batches, slices, stored, text_bytes, text_of, trim
 from simgrove.llm.tokens import GROUP_BYTES, encoder, vocabulary
 
 WINDOW, END = 1024, 0
@@ -119,6 +119,7 @@ def _packed(path: str, end: int):
                     yield from pack()
         if held:
             yield from pack()
+        trim()
 
     return run
 

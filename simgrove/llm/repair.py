@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import bounded_batches, ragged, shared_dir, slices, text_bytes, text_of
+from simgrove.llm.common import bounded_batches, ragged, shared_dir, slices, text_bytes, text_of, trim
 from simgrove.llm.tokens import GROUP_BYTES, encoder, vocabulary
 
 END = 2
@@ -230,6 +230,7 @@ def _write(path: str, end: int):
                     yield block()
         if held:
             yield block()
+        trim()
 
     return run
 
