@@ -194,7 +194,7 @@ def edit_distances(lefts: list, rows: list):
     return out
 
 
-def blocked(docs: DataFrame, left: DataFrame, column: str, function, schema: str) -> DataFrame:
+def blocked(docs: DataFrame, left: DataFrame, column: str, function, schema: str, left_block: int | None = None, right_block: int | None = None) -> DataFrame:
     """function(left table, right table) for each pair of blocks of the left ids (a frame with `id`) and all documents.
 
     Blocks are dealt by the id's hash, so that a document's column moves once for each block of the other side, not once
@@ -202,8 +202,8 @@ def blocked(docs: DataFrame, left: DataFrame, column: str, function, schema: str
     n = docs.agg(F.count(F.lit(1))).first()[0]
     m = left.agg(F.count(F.lit(1))).first()[0]
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rights = max(1, -(-n // RIGHT_BLOCK))
-    lefts = max(1, -(-m // LEFT_BLOCK), min(m, -(-2 * slots // rights)))
+    rights = max(1, -(-n // (right_block or RIGHT_BLOCK)))
+    lefts = max(1, -(-m // (left_block or LEFT_BLOCK)), min(m, -(-2 * slots // rights)))
     tasks = min(lefts * rights, 64 * slots)  # named, as few bytes of a block hold much work
     deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))

@@ -171,12 +171,12 @@ def embedding_trace(spark, d):
 
 @_query()
 def alignment_trace_paths(spark, d):
-    return X.alignment_steps(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b"), "needleman-wunsch")
+    return _matrix(X.alignment_paths, _docs(spark, d), "needleman-wunsch")
 
 
 @_query()
 def edit_trace_paths(spark, d):
-    return X.alignment_steps(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens").repartition("b"), "levenshtein")
+    return _matrix(X.alignment_paths, _docs(spark, d), "levenshtein")
 
 
 @_query(_VEC + " SELECT x.label, x.id AS i, y.id AS j, round(1 - greatest(-1, least(1, list_dot_product(x.vec, y.vec))), 6) AS d FROM v x JOIN v y ON x.label = y.label AND x.id < y.id")
