@@ -247,6 +247,35 @@ def alignment_matrix(docs: DataFrame, left: DataFrame, kind: str) -> DataFrame:
     return _result(found, F.when(F.col("longer") == 0, 1.0).otherwise(score), F.col("raw")).drop("raw", "longer")
 
 
+def jaccard_matrix(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """(a, b, normalized_score, raw_value, degenerate) of the left ids (a frame with `id`) against all (id, tokens): a
+    left document's tokens are marked, and the marks under every other document's distinct tokens are added up."""
+
+    def run(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = _numbered(a, b)
+        na, nb = (np.array([len(t) for t in side], np.int64) for side in (x, y))
+        every, full = np.concatenate([np.empty(0, np.int32), *y]), np.flatnonzero(nb)
+        starts = (np.cumsum(nb) - nb)[full]
+        mark = np.zeros(1 + max(int(every.max(initial=0)), *(int(t.max(initial=0)) for t in x), 0), np.int32)
+        shared = np.zeros((len(x), len(y)), np.int64)
+        for k, t in enumerate(x):
+            mark[t] = 1
+            if len(full):
+                shared[k, full] = np.add.reduceat(mark[every], starts)
+            mark[t] = 0
+        either = na[:, None] + nb[None] - shared
+        return pa.table({"a": a.column("a").take(pa.array(np.repeat(np.arange(len(x)), len(y)))), "b": b.column("b").take(pa.array(np.tile(np.arange(len(y)), len(x)))), "shared": shared.reshape(-1), "either": either.reshape(-1)})
+
+    kind_of = dict(docs.dtypes)["id"]
+    sets = docs.select("id", F.array_distinct("tokens").alias("tokens"))
+    found = blocked(sets, left, "tokens", run, f"a {kind_of}, b {kind_of}, shared long, either long")
+    value = F.when(F.col("either") == 0, 1.0).otherwise(F.col("shared") / F.greatest("either", F.lit(1)))
+    return _result(found, value, value).drop("shared", "either")
+
+
 def vector_matrix(vectors: DataFrame, left: DataFrame, kind: str) -> DataFrame:
     """The same of (id, vec) with unit vectors: `embedding-local` or `embedding-api`, by products of blocks. Cosines are
     off by rounding alone; a distance is the root of the squared differences' sum, summed directly where it is small."""

@@ -47,7 +47,8 @@ def _vectors(spark, d) -> DataFrame:
 
 def _pairs(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
     left = df.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("a"), F.col(column).alias(a))
-    return left.crossJoin(df.select(F.col("id").alias("b"), F.col(column).alias(b)))
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes make many pairs
+    return left.crossJoin(df.select(F.col("id").alias("b"), F.col(column).alias(b)).repartition(slots, "b"))
 
 
 def _matrix(operator, df: DataFrame, kind: str) -> DataFrame:
@@ -110,7 +111,8 @@ def needleman_wunsch_matrix(spark, d):
 @_query(_TOK + """, s AS (SELECT id, list_distinct(tokens) AS t FROM tok), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM s x, s y WHERE x.id % 50 = 0)
  SELECT a, b, round(CASE WHEN n = 0 THEN 1.0 ELSE i / (n - i) END, 6)::DOUBLE AS normalized_score, round(CASE WHEN n = 0 THEN 1.0 ELSE i / (n - i) END, 6)::DOUBLE AS raw_value FROM p""")
 def jaccard_matrix(spark, d):
-    return _scores(S.jaccard(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens")))
+    docs = _docs(spark, d)
+    return _scores(S.jaccard_matrix(docs, docs.where(F.col("id") % QUERY_STEP == 0)))
 
 
 @_query(_TF + """, u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM w),
@@ -151,8 +153,9 @@ def document_lookup(spark, d):
 @_query(_TOK + """, s AS (SELECT id, list_sort(list_distinct(tokens)) AS t FROM tok), p AS (SELECT x.id AS a, y.id AS b, x.t AS p, y.t AS q FROM s x, s y WHERE x.id % 50 = 0)
  SELECT a, b, len(p)::BIGINT AS size_a, len(q)::BIGINT AS size_b, array_to_string(list_sort(list_intersect(p, q)), ' ') AS common, len(list_distinct(list_concat(p, q)))::BIGINT AS size_union FROM p""")
 def jaccard_trace(spark, d):
-    t = X.jaccard_trace(_pairs(_docs(spark, d), "tokens", "a_tokens", "b_tokens"))
-    return t.select("a", "b", F.size("set_a").cast("long").alias("size_a"), F.size("set_b").cast("long").alias("size_b"), F.array_join("intersection", " ").alias("common"), F.size("union").cast("long").alias("size_union"))
+    sets = _docs(spark, d).withColumn("tokens", X.token_set(F.col("tokens")))
+    t = X.set_trace(_pairs(sets, "tokens", "set_a", "set_b"))
+    return t.select("a", "b", F.size("set_a").cast("long").alias("size_a"), F.size("set_b").cast("long").alias("size_b"), F.array_join("intersection", " ").alias("common"), F.col("size_union").cast("long").alias("size_union"))
 
 
 @_query(_TF + """, u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS unit FROM w), x AS (SELECT * FROM u WHERE id = 0), y AS (SELECT * FROM u WHERE id = 1)
