@@ -1,19 +1,26 @@
 """Operator 2: URL verdicts from hand-written prefix rules and from mined association rules.
 
 The hand-written rules come first: a rule fits its host and all subdomains if the path starts with the rule's, and the
-longest rule wins. For all other URLs, FP-growth mines combinations of URL tokens over the labelled pages, with the
-label as one more item. Token sets that imply a label with enough confidence and support, and better than the label's
-own share, become rules. They are matched by an inverted index: each rule hangs at its token that the fewest pages have,
-so a page meets only the rules whose rarest token it has, and then all their tokens are asked for.
-
-The number of token sets doubles with each token that always comes along, so it is bounded before the mining: tokens
-that the same labelled pages have count as one, in rules and in the pages that these meet (the least stands for them),
-and of a longer URL the WIDTH tokens that tell most about the label are mined. After it, a set goes if one of its
-subsets has the same pages: its rule could never win. The rules are a table in the shared folder.
+longest rule wins. For all other URLs, combinations of URL tokens are mined over the labelled pages, by projections of
+the pages to a token and the more frequent ones before it. Token sets that imply a label with enough confidence and
+support, and better than the label's own share, are rules. They are matched by an inverted index: each rule hangs at its
+token that the fewest pages have, so a page meets only the rules whose rarest token it has, and then all their tokens
+are asked for.
+
+All tokens of a URL are mined, and sets of any size. The number of token sets doubles with each token that always comes
+along, so only rules that can win a page are looked for. Tokens that the same labelled pages have count as one, in rules
+and in the pages that these meet (the least stands for them). A rule never wins if a part of it is as sure with as much
+support; so a token is left out where it takes away no page of the other label, as every set with it loses to the same
+set without it, and a set isn't extended where even all its further tokens together leave too many pages of the other
+label to be surer than a part already found. What is left is searched to the end, however long that takes. The rules
+are a table in the shared folder.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +30,6 @@ from simgrove.llm.common import stored, with_few
 PREFIX_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Least share of the labelled pages and least confidence of a mined rule; what pages get that no rule fits.
 MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.005, 0.75, "allow"
-CLASSES = {"block": "=block", "allow": "=allow"}
-#: Tokens of a labelled URL that are mined, at most: a parameter of the training, rules match whole URLs.
-WIDTH = 12
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -58,22 +62,89 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
-def _telling(data: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(items) of (tx, items, verdict), and (token, stands), the token that stands for each: tokens of `least` transactions or more, one for those that the same transactions
-    have, at most WIDTH for each transaction: those whose share of `block` lies farthest from that of all, in units of
-    its spread."""
-    n, blocked = data.agg(F.count(F.lit(1)), F.avg((F.col("verdict") == "block").cast("double"))).first()
-    spread = data.select("tx", (F.col("verdict") == "block").cast("double").alias("bad"), F.explode("items").alias("token"))
-    tokens = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.avg("bad").alias("bad"), F.bit_xor(F.xxhash64("tx")).alias("x"), F.bit_xor(F.xxhash64("tx", F.lit(1))).alias("y"))
-    tokens = tokens.where(F.col("n") >= least * n).withColumn("tells", F.abs(F.col("bad") - blocked) * F.sqrt("n"))
-    tokens = stored(tokens)
-    one = tokens.groupBy("n", "x", "y").agg(F.min("token").alias("stands"), F.first("tells").alias("tells"))
-    met = with_few(spread.select("tx", "token"), one.select(F.col("stands").alias("token"), "tells"), "token")
-    best = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("tells"), "token"))), 1, WIDTH)
-    items = met.groupBy("tx").agg(F.array_sort(F.transform(best, lambda x: x["token"])).alias("mined"))  # a URL's tokens
-    labels = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
-    mined = data.join(items, "tx", "left").select(F.array_append(F.coalesce("mined", F.array().cast("array<string>")), labels[F.col("verdict")]).alias("items"))
-    return mined, tokens.join(one.drop("tells"), ["n", "x", "y"]).select("token", "stands")
+def _standing(data: DataFrame, least: int) -> DataFrame:
+    """(token, stands, rank) of (tx, items): for each token of `least` transactions or more the one that stands for it,
+    the least of those that the same transactions have, and that one's rank by its transactions, most first."""
+    spread = data.select("tx", F.explode("items").alias("token"))
+    tokens = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tx")).alias("x"), F.bit_xor(F.xxhash64("tx", F.lit(1))).alias("y"))
+    tokens = stored(tokens.where(F.col("n") >= least))
+    one = tokens.groupBy("n", "x", "y").agg(F.min("token").alias("stands"))
+    one = one.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "stands")))  # at most a URL's tokens / least share
+    return tokens.join(one, ["n", "x", "y"]).select("token", "stands", "rank")
+
+
+def _sure(last: int, row: np.ndarray, token: np.ndarray, right: np.ndarray, wrong: np.ndarray, marks: np.ndarray, totals: tuple[int, int], least: int, floor: float):
+    """(antecedent, right pages, wrong pages, their mark) of the rules for a label with the token `last` that may win a
+    page. Of the transactions with `last`: the row and token of each other token, rows ascending; how many pages of this
+    label and of the other each row stands for, and its mark, a hash. totals: all pages of both."""
+    r, w = int(right.sum()), int(wrong.sum())
+    if r < least or w == totals[1]:
+        return
+
+    def rule(r, w):
+        return (r / (r + w) >= floor) & (r * sum(totals) > (r + w) * totals[0])
+
+    best = 0.0
+    if rule(r, w):
+        best = r / (r + w)
+        yield (last,), r, w, int(np.bitwise_xor.reduce(marks))
+    names, token = np.unique(token, return_inverse=True)
+    # a set, and its transactions' other tokens as places in names; or those of its parent and the place to go to
+    todo = [((last,), names, row, token, right, wrong, marks, best, None)] if w else []
+    while todo:
+        have, names, row, token, right, wrong, marks, best, place = todo.pop()
+        if place is not None:
+            own = np.zeros(len(right), bool)
+            own[row[token == place]] = True
+            further = own[row] & (token > place)
+            row, token = (np.cumsum(own) - 1)[row[further]], token[further]
+            have, right, wrong, marks = (*have, int(names[place])), right[own], wrong[own], marks[own]
+        rs = np.bincount(token, right[row], len(names)).astype(np.int64)
+        ws = np.bincount(token, wrong[row], len(names)).astype(np.int64)
+        use = np.flatnonzero((rs >= least) & (ws < wrong.sum()))
+        if not len(use):
+            continue
+        use = use[np.argsort(ws[use], kind="stable")]
+        rs, ws, names = rs[use], ws[use], names[use]
+        places = np.full(int(token.max()) + 1, -1)
+        places[use] = np.arange(len(use))
+        token = places[token]
+        row, token = row[token >= 0], token[token >= 0]
+        good = rule(rs, ws) & (rs / (rs + ws) > best)
+        for i in np.flatnonzero(good):
+            yield (*have, int(names[i])), int(rs[i]), int(ws[i]), int(np.bitwise_xor.reduce(marks[row[token == i]]))
+        # a set with a token and some after it is at best as sure as if it lost all wrong pages but those with every one
+        # of these; a row has every token from the place where its unbroken run to the last one begins
+        by_row = np.lexsort((-token, row))
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        run = np.bincount(row, token[by_row] == len(use) - 1 - nth, len(wrong)).astype(np.int64)
+        stay = np.cumsum(np.bincount(len(use) - run, wrong, len(use) + 1))[:-1].astype(np.int64)
+        top = np.where(good, rs / (rs + ws), best)
+        more = (ws > 0) & rule(rs, stay) & (rs / (rs + stay) > top)
+        todo += [(have, names, row, token, right, wrong, marks, float(top[i]), i) for i in np.flatnonzero(more[:-1])]
+
+
+SURE = "antecedent array<int>, verdict string, right long, wrong long, mark long"
+
+
+def _sure_rules(totals: dict[str, int], least: int, floor: float):
+    """For applyInArrow over (last, before, allow, block, mark) by last: the rules whose rarest token is last."""
+    import pyarrow as pa
+
+    def run(key, table):
+        before = table.column("before").combine_chunks()
+        row = np.repeat(np.arange(len(before)), before.value_lengths().to_numpy(zero_copy_only=False))
+        token = before.flatten().to_numpy(zero_copy_only=False)
+        pages, marks = {k: table.column(k).to_numpy() for k in totals}, table.column("mark").to_numpy()
+        found = []
+        for verdict, other in (("allow", "block"), ("block", "allow")):
+            sure = _sure(key[0].as_py(), row, token, pages[verdict], pages[other], marks, (totals[verdict], totals[other]), least, floor)
+            found += [(have, verdict, r, w, mark) for have, r, w, mark in sure]
+        kinds = [pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        columns = list(zip(*found)) or [[]] * len(kinds)
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["antecedent", "verdict", "right", "wrong", "mark"])
+
+    return run
 
 
 RULE = "antecedent array<string>, verdict string, confidence double, support double, lift double"
@@ -81,29 +152,35 @@ RULE = "antecedent array<string>, verdict string, confidence double, support dou
 
 def mine(transactions: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """From (items, verdict), tables of rules (antecedent, verdict, confidence, support, lift) and of tokens (token,
-    stands): a rule fits a page whose tokens' stands hold its antecedent. No labelled rows: none of both."""
-    from pyspark.ml.fpm import FPGrowth
-
+    stands): a rule fits a page whose tokens' stands hold its antecedent. All rules that can win a page are there, and
+    none of the same pages as a part of it. No labelled rows: none of both."""
     spark = transactions.sparkSession
-    data = stored(transactions.select("items", "verdict").withColumn("tx", F.monotonically_increasing_id()))
-    n = data.count()
+    data = stored(transactions.select(F.array_distinct("items").alias("items"), "verdict").withColumn("tx", F.monotonically_increasing_id()))
+    totals = {"allow": 0, "block": 0} | {r.verdict: r["count"] for r in data.groupBy("verdict").count().collect()}  # two rows
+    n = sum(totals.values())
     if not n:
         return spark.createDataFrame([], RULE), spark.createDataFrame([], "token string, stands string")
-    mined, stands = map(stored, _telling(data, min_support))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(mined)
-    sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
-    names = F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (v, k)])
-    label = F.filter("items", lambda x: x.isin(list(CLASSES.values())))
-    split = stored(sets.select(F.get(label, F.lit(0)).alias("label"), F.array_except("items", label).alias("antecedent"), "freq"))
-    bare = split.where("label is null").select("antecedent", F.col("freq").alias("pages"))
-    # a set whose pages are those of a set without one of its tokens tells nothing more
-    fewer = F.explode(F.transform("antecedent", lambda x: F.array_remove(F.col("antecedent"), x)))
-    same = bare.withColumn("fewer", fewer).join(bare.select(F.col("antecedent").alias("fewer"), "pages"), ["fewer", "pages"], "left_semi")
-    bare = bare.join(same.select("antecedent").distinct(), "antecedent", "left_anti")
-    shares = split.where("label is not null and size(antecedent) = 0").select("label", (F.col("freq") / n).alias("share"))
-    rules = split.where("label is not null and size(antecedent) > 0").join(bare, "antecedent").join(F.broadcast(shares), "label")  # two rows
-    rules = rules.select("antecedent", names[F.col("label")].alias("verdict"), (F.col("freq") / F.col("pages")).alias("confidence"), (F.col("freq") / n).alias("support"), (F.col("freq") / F.col("pages") / F.col("share")).alias("lift"))
-    return stored(rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") > 1))), stands
+    least = max(1, math.ceil(min_support * n))
+    stands = stored(_standing(data, least))
+    ranks = stored(stands.where("token = stands").select("token", "rank"))
+    met = with_few(data.select("tx", "verdict", F.explode("items").alias("token")), ranks, "token")
+    each = met.groupBy("tx", "verdict").agg(F.sort_array(F.collect_list("rank")).alias("items"))  # a URL's tokens
+    count = [F.sum(F.when(F.col("verdict") == k, 1).otherwise(0)).alias(k) for k in totals]
+    sets = each.groupBy("items").agg(*count).select("*", F.xxhash64("items").alias("mark"), F.posexplode("items").alias("at", "last"))
+    parts = sets.groupBy("last", F.slice("items", F.lit(1), F.col("at")).alias("before")).agg(*[F.sum(k).alias(k) for k in totals], F.bit_xor("mark").alias("mark"))
+    # a token's few bytes may be long work: dealt to all slots
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "last")
+    found = stored(parts.groupBy("last").applyInArrow(_sure_rules(totals, least, min_confidence), SURE))
+    found = stored(found.withColumn("rule", F.monotonically_increasing_id()))
+    same = ["verdict", "right", "wrong", "mark"]
+    part = found.select(*same, F.col("antecedent").alias("part"))
+    lost = found.join(part, same).where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
+    found = found.join(lost.select("rule").distinct(), "rule", "left_anti")
+    named = with_few(found.select("rule", F.explode("antecedent").alias("rank")), ranks, "rank")
+    named = named.groupBy("rule").agg(F.array_sort(F.collect_list("token")).alias("antecedent"))  # a rule's tokens
+    rules = found.drop("antecedent").join(named, "rule")
+    sure, share = F.col("right") / (F.col("right") + F.col("wrong")), F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, v / n)])
+    return stored(rules.select("antecedent", "verdict", sure.alias("confidence"), (F.col("right") / n).alias("support"), (sure / share[F.col("verdict")]).alias("lift"))), stands.drop("rank")
 
 
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
