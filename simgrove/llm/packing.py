@@ -127,6 +127,7 @@ def _packed(path: str, end: int):
 def _again(batches):
     """Pieces of loose windows, packed once more."""
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     sequence, held, n = SECOND + (TaskContext.get().partitionId() << 36), [], 0
@@ -140,7 +141,7 @@ def _again(batches):
 
     for batch in batches:
         held.append(batch.select(names))
-        n += pa.compute.sum(batch.column("length")).as_py() or 0
+        n += pc.sum(batch.column("length")).as_py() or 0
         if n >= HELD_IDS:
             out, windows = pack()
             yield from out

@@ -225,6 +225,40 @@ def test_packing(spark):
     assert P.pack(docs(spark, ODD).limit(0), P.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_again_alone(tmp_path):
+    """In a process that has loaded no more than a new worker of an executor: building an Arrow array would load pandas, and that pyarrow.compute."""
+    import subprocess
+
+    import pyarrow as pa
+
+    from simgrove.llm import packing as P
+
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in P.PIECES.split(", "))])
+    with pa.ipc.new_stream(str(tmp_path / "pieces"), schema) as out:
+        for sizes in ([600, 424], [], [500, 524], [300], [700, 1]):
+            out.write_batch(pa.RecordBatch.from_pylist([dict.fromkeys(schema.names, 0) | {"length": n, "ids": b""} for n in sizes], schema))
+    code = """
+import sys
+from types import SimpleNamespace
+import pyarrow as pa, pyspark
+from simgrove.llm import packing as P
+P.HELD_IDS = 2000
+pyspark.TaskContext.get = staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0))
+batches = list(pa.ipc.open_stream(sys.argv[1]))
+assert "pandas" not in sys.modules and "pyarrow.compute" not in sys.modules
+for out in P._again(iter(batches)):
+    for row in zip(*(out.column(n).to_pylist() for n in ("length", "sequence_id", "offset"))):
+        print(*row)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code, tmp_path / "pieces"], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    got = [tuple(map(int, x.split())) for x in run.stdout.splitlines()]
+    # the first four pieces fill two windows, the others go to a third
+    assert [(n, s - P.SECOND, at) for n, s, at in got] == [(600, 0, 0), (424, 0, 600), (500, 1, 524), (524, 1, 0), (300, 2, 700), (700, 2, 0), (1, 2, 1000)]
+
+
 def test_chat(spark):
     from simgrove.llm import chat as C
 
